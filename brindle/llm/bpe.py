@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, worker_cache
+from .common import column, slices, worker_cache
 
 END = "</w>"
 #: Characters for which the tokenizer's normaliser and splitter act as PIECE and lower() do:
@@ -72,6 +72,8 @@ class TrieEncoder:
     def encode(self, words) -> dict[str, list[int]]:
         """Ids of each distinct word; a word is whole, its last letter ends it."""
         out: dict[str, list[int]] = {}
+        if len(self.apart) > 400_000:
+            self.apart.clear()
         vocab, apart, fits, longest = self.vocab, self.apart, self.fits, self.longest
         letters = self.letters
         spelled = sorted((w if w.isascii() else "".join([letters[b] for b in w.encode()]), w) for w in words)
@@ -117,59 +119,101 @@ class TrieEncoder:
 class WordBpe:
     """A tokenizer file with word-end marks, and a bounded memory of words seen.
 
-    keep turns (ids, tokens) of a word into the values that are remembered, each in a dict of
-    its own in known; the memory is emptied at `most` words, which bounds it and changes no
-    result.
+    keep turns (ids of words end to end, where each word ends) into one list of values a word
+    for each dict of known. The memory has two generations of at most `most` words: full, the
+    younger one becomes the older, from which words in use come back. That bounds it and
+    changes no result.
     """
 
-    def __init__(self, content: str, keep, trie: bool = True, most: int = 400_000):
+    def __init__(self, content: str, keep, trie: bool = True, most: int = 300_000):
         from tokenizers import Tokenizer
 
         data = json.loads(content)
-        self.library = Tokenizer.from_str(content)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.trie = TrieEncoder(data["model"]["vocab"], data["model"]["merges"]) if trie else None
+        self.content, self._library = content, None
         self.tokens = {i: t for t, i in data["model"]["vocab"].items()} | {t["id"]: t["content"] for t in data["added_tokens"]}
+        self.trie = TrieEncoder(data["model"]["vocab"], data["model"]["merges"]) if trie else None
+        if not trie:
+            # words come normalised and split here: the same model without those two steps
+            data |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}}
+            self.plain = Tokenizer.from_str(json.dumps(data))
         self.ends = {i for i, t in self.tokens.items() if t.endswith(END)}
         self.keep, self.most = keep, most
-        self.known: list[dict] = [{} for _ in keep([0], [""])]
-
-    def _learn(self, words: set[str], asked: set[str]) -> None:
-        if len(self.known[0]) + len(words) > self.most:
-            # words of the texts at hand must stay known until those are done
-            for known in self.known:
-                held = {w: known[w] for w in asked if w in known}
-                known.clear()
-                known.update(held)
+        self.known: list[dict] = [{} for _ in keep([0], [1], self.tokens)]
+        self.older: list[dict] = [{} for _ in self.known]
+
+    @property
+    def library(self):
+        """The tokenizer as its file has it, for the texts that are left to it."""
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_str(self.content)
+            self._library.no_truncation()
+            self._library.no_padding()
+        return self._library
+
+    def _encode(self, words: list[str]) -> tuple[list[int], list[int]]:
+        """(ids of the words end to end, where each ends)."""
+        ids: list[int] = []
         if self.trie:
-            got = self.trie.encode(words)
-        else:
-            listed = sorted(words)
-            ids = []
-            for e in self.library.encode_batch_fast([" ".join(listed[i : i + 500]) for i in range(0, len(listed), 500)], add_special_tokens=False):
+            got, cuts = self.trie.encode(words), []
+            for w in words:
+                ids += got[w]
+                cuts.append(len(ids))
+            return ids, cuts
+        for i in range(0, len(words), 4000):
+            for e in self.plain.encode_batch_fast([" ".join(words[j : j + 200]) for j in range(i, min(i + 4000, len(words)), 200)], add_special_tokens=False):
                 ids += e.ids
-            cuts = [i + 1 for i, x in enumerate(ids) if x in self.ends]
-            assert len(cuts) == len(listed), "a word came out in more than one piece"
-            got = {w: ids[a:b] for w, a, b in zip(listed, [0, *cuts], cuts)}
-        tokens = self.tokens
-        for w, ids in got.items():
-            for known, value in zip(self.known, self.keep(ids, [tokens[i] for i in ids])):
-                known[w] = value
-
-    def words(self, texts: list[str], size: int = 2_000_000):
-        """For each text in turn its words, all known by then, or None where the library must encode it."""
+        ends = self.ends
+        cuts = [i for i, x in enumerate(ids, 1) if x in ends]
+        assert len(cuts) == len(words), "a word came out in more than one piece"
+        return ids, cuts
+
+    def _learn(self, new: set[str]) -> None:
+        if len(self.known[0]) + len(new) > self.most:
+            for i, known in enumerate(self.known):
+                self.older[i], self.known[i] = known, {}
+        if self.older[0]:
+            old = [w for w in new if w in self.older[0]]
+            for known, older in zip(self.known, self.older):
+                known.update(zip(old, map(older.__getitem__, old)))
+            new = new.difference(old)
+        words = sorted(new)
+        for known, values in zip(self.known, self.keep(*self._encode(words), self.tokens)):
+            known.update(zip(words, values))
+
+    def values(self, texts: list[str], size: int = 2_000_000):
+        """For each text in turn: a list of its words' values for each dict of known, or None
+        where the library must encode it."""
         i = 0
         while i < len(texts):
-            j, total, pieces = i, 0, []
+            j, total, rows, missed = i, 0, [], set()
+            known = self.known
             while j < len(texts) and (j == i or total + len(texts[j]) <= size):
-                pieces.append(None if OTHER.search(texts[j]) else PIECE.findall(texts[j].lower()))
+                if OTHER.search(texts[j]):
+                    rows.append(None)
+                else:
+                    words = PIECE.findall(texts[j].lower())
+                    found = [list(map(d.get, words)) for d in known]
+                    if None in found[0]:
+                        holes = [k for k, v in enumerate(found[0]) if v is None]
+                        missed.update(map(words.__getitem__, holes))
+                        rows.append((found, holes, words))
+                    else:
+                        rows.append((found, (), ()))
                 total += len(texts[j])
                 j += 1
-            asked = set().union(*(p for p in pieces if p))
-            if new := asked - self.known[0].keys():
-                self._learn(new, asked)
-            yield from pieces
+            if missed:
+                self._learn(missed)
+            for row in rows:
+                if row is None:
+                    yield None
+                    continue
+                found, holes, words = row
+                for d, values in zip(self.known, found):
+                    for k in holes:
+                        values[k] = d[words[k]]
+                yield found
             i = j
 
 
@@ -202,22 +246,23 @@ def _encode(docs: DataFrame, path: str | None, id_col: str, text_col: str, diges
     types = [pa.int64(), pa.string(), pa.string()] if digest else [pa.list_(pa.int32()), pa.string()]
     schema = f"doc_id {kind}, " + ("n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string")
 
-    def kept(ids, tokens):
+    def kept(ids, cuts, tokens):
         # the library's decode joins tokens by a space where the file names no decoder
-        return " ".join(map(str, ids)), " ".join(tokens)
+        numbers, names = list(map(str, ids)), list(map(tokens.__getitem__, ids))
+        spans = list(zip([0, *cuts], cuts))
+        return [" ".join(numbers[a:b]) for a, b in spans], [" ".join(names[a:b]) for a, b in spans]
 
     def run(batches):
         bpe = worker_cache(name, lambda: WordBpe(content.value, kept))
-        for batch in batches:
+        for batch in slices(batches, 1):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             rows = []
-            ids_of, tokens_of = (known.__getitem__ for known in bpe.known)
-            for text, words in zip(texts, bpe.words(texts)):
-                if words is None:
+            for text, found in zip(texts, bpe.values(texts)):
+                if found is None:
                     got = bpe.library.encode(text, add_special_tokens=False).ids
                     ids, decoded = " ".join(map(str, got)), bpe.library.decode(got, skip_special_tokens=False)
                 else:
-                    ids, decoded = " ".join(map(ids_of, words)), " ".join(map(tokens_of, words))
+                    ids, decoded = map(" ".join, found)
                 n = ids.count(" ") + 1 if ids else 0
                 if digest:
                     rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))

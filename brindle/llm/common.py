@@ -97,3 +97,18 @@ def worker_cache(name: str, make):
     if not hasattr(home, name):
         setattr(home, name, make())
     return getattr(home, name)
+
+
+def slices(batches, position: int, size: int = 4_000_000):
+    """Arrow batches cut so that the texts in one column hold about size bytes; a longer text is alone."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(position)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        i = 0
+        while i < batch.num_rows:
+            before = ends[i - 1] if i else 0
+            j = max(i + 1, int(np.searchsorted(ends, before + size, "right")))
+            yield batch.slice(i, j - i)
+            i = j

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column
+from .common import column, slices
 
 UNKNOWN = "und"
 _LETTERS: list[np.ndarray] = []
@@ -190,7 +190,7 @@ def identify(docs: DataFrame, filters: Filters, text_col: str = "text") -> DataF
     position = docs.columns.index(text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, position):
             texts = [t or "" for t in batch.column(position).to_pylist()]
             langs, scores = classify(texts, filters)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*docs_columns, "lang_pred", "score"])

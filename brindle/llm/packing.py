@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import WordBpe, tokenizer_content
-from .common import column, worker_cache
+from .common import column, slices, worker_cache
 
 
 @dataclass(frozen=True)
@@ -41,16 +41,17 @@ def tokenize(docs: DataFrame, shards: int, path: str | None = None, settings: Se
     kind = df.schema["doc_id"].dataType.simpleString()
     end = np.array([settings.end_id], "<u2").tobytes()
 
-    def kept(ids, tokens):
-        return (np.array(ids, "<u2").tobytes(),)
+    def kept(ids, cuts, tokens):
+        flat = np.array(ids, "<u2").tobytes()
+        return ([flat[2 * a : 2 * b] for a, b in zip([0, *cuts], cuts)],)
 
     def run(batches):
         bpe = worker_cache(name, lambda: WordBpe(content.value, kept, trie=False))
-        for batch in batches:
+        for batch in slices(batches, 2):
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            ids_of, out = bpe.known[0].__getitem__, []
-            for text, words in zip(texts, bpe.words(texts)):
-                ids = kept(bpe.library.encode(text, add_special_tokens=False).ids, None)[0] if words is None else b"".join(map(ids_of, words))
+            out = []
+            for text, found in zip(texts, bpe.values(texts)):
+                ids = np.array(bpe.library.encode(text, add_special_tokens=False).ids, "<u2").tobytes() if found is None else b"".join(found[0])
                 out.append(ids + end)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("shard"), pa.array(out, pa.binary())], names=["doc_id", "shard", "ids"])
 

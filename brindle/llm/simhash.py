@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, materialize
+from .common import column, materialize, slices
 from .components import components
 
 SEED = 42
@@ -55,7 +55,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     df = docs.select(column(id_col).alias("doc_id"), F.xxhash64(column(text_col)).alias("key"), column(text_col).alias("text"))
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 2):
             fps = [fingerprint(shingle_hashes(t or "", shingle)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["doc_id", "key", "fp"])
 

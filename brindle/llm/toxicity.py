@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column
+from .common import column, slices
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -261,7 +261,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", with_passages:
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("evalue", pa.float64())]))
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, position):
             texts = [t or "" for t in batch.column(position).to_pylist()]
             got = [text_score(t, model) for t in texts]
             out = [pa.array([s for s, *_ in got], pa.float64()), pa.array([len(f) for *_, f in got], pa.int32())]
@@ -282,7 +282,7 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     position = names.index(text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, position):
             keep = pa.array([text_score(t or "", model)[0] < model.settings.threshold for t in batch.column(position).to_pylist()], pa.bool_())
             yield batch.filter(keep)
 
