@@ -56,7 +56,7 @@ class Model:
     def score(self, word: str) -> float:
         if (s := self.words.get(word)) is None:
             s = next((x for n in reversed(self.settings.stems) if len(word) > n and (x := self.stems.get(word[:n]))), 0.0)
-        if len(self.seen) > 500_000:
+        if len(self.seen) > 150_000:
             self.seen.clear()
         self.seen[word] = s
         return s
