@@ -125,18 +125,11 @@ class WordBpe:
     changes no result.
     """
 
-    def __init__(self, content: str, keep, trie: bool = True, most: int = 300_000):
-        from tokenizers import Tokenizer
-
+    def __init__(self, content: str, keep, most: int = 200_000):
         data = json.loads(content)
         self.content, self._library = content, None
         self.tokens = {i: t for t, i in data["model"]["vocab"].items()} | {t["id"]: t["content"] for t in data["added_tokens"]}
-        self.trie = TrieEncoder(data["model"]["vocab"], data["model"]["merges"]) if trie else None
-        if not trie:
-            # words come normalised and split here: the same model without those two steps
-            data |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}}
-            self.plain = Tokenizer.from_str(json.dumps(data))
-        self.ends = {i for i, t in self.tokens.items() if t.endswith(END)}
+        self.trie = TrieEncoder(data["model"]["vocab"], data["model"]["merges"])
         self.keep, self.most = keep, most
         self.known: list[dict] = [{} for _ in keep([0], [1], self.tokens)]
         self.older: list[dict] = [{} for _ in self.known]
@@ -155,18 +148,10 @@ class WordBpe:
     def _encode(self, words: list[str]) -> tuple[list[int], list[int]]:
         """(ids of the words end to end, where each ends)."""
         ids: list[int] = []
-        if self.trie:
-            got, cuts = self.trie.encode(words), []
-            for w in words:
-                ids += got[w]
-                cuts.append(len(ids))
-            return ids, cuts
-        for i in range(0, len(words), 4000):
-            for e in self.plain.encode_batch_fast([" ".join(words[j : j + 200]) for j in range(i, min(i + 4000, len(words)), 200)], add_special_tokens=False):
-                ids += e.ids
-        ends = self.ends
-        cuts = [i for i, x in enumerate(ids, 1) if x in ends]
-        assert len(cuts) == len(words), "a word came out in more than one piece"
+        got, cuts = self.trie.encode(words), []
+        for w in words:
+            ids += got[w]
+            cuts.append(len(ids))
         return ids, cuts
 
     def _learn(self, new: set[str]) -> None:
@@ -182,7 +167,7 @@ class WordBpe:
         for known, values in zip(self.known, self.keep(*self._encode(words), self.tokens)):
             known.update(zip(words, values))
 
-    def values(self, texts: list[str], size: int = 2_000_000):
+    def values(self, texts: list[str], size: int = 500_000):
         """For each text in turn: a list of its words' values for each dict of known, or None
         where the library must encode it."""
         i = 0
@@ -254,7 +239,7 @@ def _encode(docs: DataFrame, path: str | None, id_col: str, text_col: str, diges
 
     def run(batches):
         bpe = worker_cache(name, lambda: WordBpe(content.value, kept))
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, 2_000_000):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             rows = []
             for text, found in zip(texts, bpe.values(texts)):

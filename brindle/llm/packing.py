@@ -18,8 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import WordBpe, tokenizer_content
+from .bpe import tokenizer_content
 from .common import column, slices, worker_cache
+from .wordtable import WordTable
 
 
 @dataclass(frozen=True)
@@ -41,18 +42,10 @@ def tokenize(docs: DataFrame, shards: int, path: str | None = None, settings: Se
     kind = df.schema["doc_id"].dataType.simpleString()
     end = np.array([settings.end_id], "<u2").tobytes()
 
-    def kept(ids, cuts, tokens):
-        flat = np.array(ids, "<u2").tobytes()
-        return ([flat[2 * a : 2 * b] for a, b in zip([0, *cuts], cuts)],)
-
     def run(batches):
-        bpe = worker_cache(name, lambda: WordBpe(content.value, kept, trie=False))
-        for batch in slices(batches, 2):
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            out = []
-            for text, found in zip(texts, bpe.values(texts)):
-                ids = np.array(bpe.library.encode(text, add_special_tokens=False).ids, "<u2").tobytes() if found is None else b"".join(found[0])
-                out.append(ids + end)
+        table = worker_cache(name, lambda: WordTable(content.value))
+        for batch in slices(batches, 2, 500_000):
+            out = [ids.astype("<u2").tobytes() + end for ids in table.ids([t or "" for t in batch.column("text").to_pylist()])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("shard"), pa.array(out, pa.binary())], names=["doc_id", "shard", "ids"])
 
     return df.mapInArrow(run, f"doc_id {kind}, shard long, ids binary")
