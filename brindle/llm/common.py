@@ -112,3 +112,15 @@ def slices(batches, position: int, size: int = 4_000_000):
             j = max(i + 1, int(np.searchsorted(ends, before + size, "right")))
             yield batch.slice(i, j - i)
             i = j
+
+
+def map_arrow(docs: DataFrame, run, extra: dict[str, str] | None = None) -> DataFrame:
+    """docs.mapInArrow(run) with all columns kept and extra ones appended, whatever their names.
+
+    run sees the columns as c0, c1, ... by position and must name what it yields so, extra
+    columns by their own names.
+    """
+    extra = extra or {}
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema), *(f"{k} {v}" for k, v in extra.items())])
+    return plain.mapInArrow(run, schema).toDF(*docs.columns, *extra)

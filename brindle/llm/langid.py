@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, slices
+from .common import column, map_arrow, slices
 
 UNKNOWN = "und"
 _LETTERS: list[np.ndarray] = []
@@ -186,14 +186,12 @@ def identify(docs: DataFrame, filters: Filters, text_col: str = "text") -> DataF
     Repeated rows get equal answers; other columns pass through. docs must not have columns
     lang_pred or score already.
     """
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", lang_pred string, score double"
     position = docs.columns.index(text_col)
 
     def run(batches):
         for batch in slices(batches, position):
             texts = [t or "" for t in batch.column(position).to_pylist()]
             langs, scores = classify(texts, filters)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*docs_columns, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
-    docs_columns = docs.columns
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, {"lang_pred": "string", "score": "double"})

@@ -129,7 +129,7 @@ RULES = [
 ]
 
 #: Every known sentence holds one of these, so a text without any has none (tested).
-CUES = "licen|copyright|reserved|warrant|permission|redistribut|domain|liab|compliance"
+CUES = "mozilla|licen|copyright|reserved|warrant|permission|redistribut|domain|liab|compliance"
 #: Where a sentence ends within a line.
 ENDS = r"([.!?;:])[ \t\r\f\x0b]+"
 

@@ -81,7 +81,7 @@ class Index:
         """Unused documents that share a weighty term with the seed, best first."""
         own = slice(self.own[seed], self.own[seed + 1])
         terms, weights = self.terms[own], self.weights[own]
-        ok = (self.df[terms] > 1) & (self.df[terms] <= max(16, self.n // 4))
+        ok = (self.df[terms] > 1) & (self.df[terms] <= self.n // 2 + 1)
         terms, weights = terms[ok], weights[ok]
         if len(terms) > self.settings.query_terms:
             terms = terms[np.argpartition(-weights, self.settings.query_terms)[: self.settings.query_terms]]

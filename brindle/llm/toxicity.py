@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, slices
+from .common import column, map_arrow, slices
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -255,9 +255,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", with_passages:
     A null or empty text has no segment and so the lowest score. Texts are read whole.
     """
     extra = {"score": "double", "n_segments": "int"} | ({"passages": "array<struct<start:int,end:int,score:double,evalue:double>>"} if with_passages else {})
-    names = docs.columns
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), *(f"{k} {v}" for k, v in extra.items())])
-    position = names.index(text_col)
+    position = docs.columns.index(text_col)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("evalue", pa.float64())]))
 
     def run(batches):
@@ -267,9 +265,9 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", with_passages:
             out = [pa.array([s for s, *_ in got], pa.float64()), pa.array([len(f) for *_, f in got], pa.int32())]
             if with_passages:
                 out.append(pa.array([passages(t, n, f, model) for t, (_, n, f) in zip(texts, got)], kind))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *out], names=[*names, *extra])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *out], names=[*batch.schema.names, *extra])
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, extra)
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -277,13 +275,11 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
 
     The rows are filtered where they are scored: no join, so ids may repeat or be null.
     """
-    names = docs.columns
-    schema = docs.schema
-    position = names.index(text_col)
+    position = docs.columns.index(text_col)
 
     def run(batches):
         for batch in slices(batches, position):
             keep = pa.array([text_score(t or "", model)[0] < model.settings.threshold for t in batch.column(position).to_pylist()], pa.bool_())
             yield batch.filter(keep)
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run)
