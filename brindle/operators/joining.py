@@ -131,7 +131,9 @@ def contains_any(texts: DataFrame, needles: DataFrame, key: str, text: str, need
     filed = needles.select(needle_key, F.lower(needle).alias("__needle"), F.get(longest, F.lit(0)).alias("__word"))
     short = filed.where("__word is null").select(needle_key, "__needle")
     filed = filed.where("__word is not null")
-    bags = texts.select(key, F.lower(text).alias("__text"), F.explode(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+"))).alias("__word"))
-    found = bags.join(filed, "__word").where(F.contains("__text", "__needle")).select(key, needle_key)
+    # words travel with the key alone; the few texts that have a needle's word are fetched after that
+    bags = texts.select(key, F.explode(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+"))).alias("__word"))
+    tried = bags.join(filed, "__word").select(key, needle_key, "__needle")
+    found = tried.join(texts.select(key, F.lower(text).alias("__text")), key).where(F.contains("__text", "__needle")).select(key, needle_key)
     rest = texts.select(key, F.lower(text).alias("__text")).join(short, F.contains("__text", "__needle")).select(key, needle_key)
     return found.unionByName(rest).distinct()
