@@ -258,21 +258,43 @@ def _features(v: tuple[int, ...]) -> list[float]:
     return [1.0, *(float(x == 1) for x in v), *(float(x == -1) for x in v)]
 
 
+def _solve(a: list[list[float]], b: list[float]) -> list[float]:
+    """x of a x = b for a small positive definite a, by elimination."""
+    rows = [[*r, y] for r, y in zip(a, b)]
+    n = len(rows)
+    for i in range(n):
+        for j in range(i + 1, n):
+            f = rows[j][i] / rows[i][i]
+            rows[j] = [x - f * y for x, y in zip(rows[j], rows[i])]
+    x = [0.0] * n
+    for i in reversed(range(n)):
+        x[i] = (rows[i][n] - sum(rows[i][j] * x[j] for j in range(i + 1, n))) / rows[i][i]
+    return x
+
+
 def train(counts: dict[int, int], settings: Settings = Settings()) -> dict[str, list[float]]:
-    """Weights of the span classifier by kind: logistic regression on the estimated labels."""
+    """Weights of the span classifier by kind: ridge logistic regression on the estimated labels, by Newton's method."""
     truth, weights = estimate(counts, settings), {}
     for kind in KINDS:
         rows = [(_features(v), n, truth[key]) for key, n in counts.items() if (kv := _decode(key))[0] == kind and (v := kv[1])]
-        w = [0.0] * (1 + 2 * len(LABELERS))
-        total = sum(n for _, n, _ in rows) or 1
-        for _ in range(3000 if rows else 0):
-            g = [settings.ridge * x / total for x in w]
+        k = 1 + 2 * len(LABELERS)
+        w = [0.0] * k
+        for _ in range(40 if rows else 0):
+            g = [settings.ridge * x for x in w]
+            h = [[settings.ridge * (i == j) for j in range(k)] for i in range(k)]
             for x, n, y in rows:
                 p = 1 / (1 + math.exp(-max(-40.0, min(40.0, sum(a * b for a, b in zip(w, x))))))
-                for i, a in enumerate(x):
-                    if a:
-                        g[i] += n * (p - y) / total
-            w = [a - 2.0 * b for a, b in zip(w, g)]
+                on = [i for i, a in enumerate(x) if a]
+                for i in on:
+                    g[i] += n * (p - y)
+                    for j in on:
+                        h[i][j] += n * p * (1 - p)
+            step = _solve(h, g)
+            # steps are held to 3 so that a far start cannot throw the search off
+            hold = min(1.0, 3.0 / max(1e-12, max(map(abs, step))))
+            w = [a - hold * b for a, b in zip(w, step)]
+            if max(map(abs, step)) < 1e-7:
+                break
         weights[kind] = w
     return weights
 
