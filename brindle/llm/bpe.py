@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, slices, worker_cache
+from .common import bounded_batches, column, slices, worker_cache
 
 END = "</w>"
 #: Characters for which the tokenizer's normaliser and splitter act as PIECE and lower() do:
@@ -223,6 +223,7 @@ def encode_digest(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
 
 
 def _encode(docs: DataFrame, path: str | None, id_col: str, text_col: str, digest: bool) -> DataFrame:
+    bounded_batches(docs.sparkSession)
     df = docs.select(column(id_col).alias("doc_id"), column(text_col).alias("text"))
     content = docs.sparkSession.sparkContext.broadcast(tokenizer_content(path))
     kind = df.schema["doc_id"].dataType.simpleString()

@@ -43,10 +43,21 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Bounds the Arrow batches that go to Python, on both sides, where the session has the default.
+
+    A batch of long texts is held by the JVM outside its heap and by the worker; the default of
+    64 MB and its copies are too much for executors of a few gigabytes.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("67108864b", "67108864", "64m", "64MB"):
+        spark.conf.set(key, size)
+
+
 def column(name: str) -> Column:
     """A column by its exact name, dots and all."""
     return F.col("`" + name.replace("`", "``") + "`")
@@ -121,6 +132,7 @@ def map_arrow(docs: DataFrame, run, extra: dict[str, str] | None = None) -> Data
     columns by their own names.
     """
     extra = extra or {}
+    bounded_batches(docs.sparkSession)
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema), *(f"{k} {v}" for k, v in extra.items())])
     return plain.mapInArrow(run, schema).toDF(*docs.columns, *extra)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import tokenizer_content
-from .common import column, slices, worker_cache
+from .common import bounded_batches, column, slices, worker_cache
 from .wordtable import WordTable
 
 
@@ -36,6 +36,7 @@ class Settings:
 
 def tokenize(docs: DataFrame, shards: int, path: str | None = None, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, shard, ids): ids as bytes of unsigned 16-bit numbers."""
+    bounded_batches(docs.sparkSession)
     df = docs.select(column(id_col).alias("doc_id"), F.pmod(F.xxhash64(column(id_col), column(text_col)), F.lit(shards)).alias("shard"), column(text_col).alias("text"))
     content = docs.sparkSession.sparkContext.broadcast(tokenizer_content(path))
     name = "pack_" + hashlib.sha256(content.value.encode()).hexdigest()[:16]
