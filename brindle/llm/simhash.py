@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, materialize, slices
+from .common import bounded_batches, column, materialize, slices
 from .components import components
 
 SEED = 42
@@ -52,6 +52,7 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
     """(doc_id, key, fp): fp as a signed 64-bit number, key a hash of the text; a null text is empty."""
+    bounded_batches(docs.sparkSession)
     df = docs.select(column(id_col).alias("doc_id"), F.xxhash64(column(text_col)).alias("key"), column(text_col).alias("text"))
 
     def run(batches):
@@ -100,7 +101,7 @@ class GrayIndex:
 
     def __init__(self, fps: np.ndarray, radius: int):
         self.fps, self.radius, self.n = fps, radius, len(fps)
-        self.parent = np.arange(self.n)
+        self.parent, self.merges = np.arange(self.n), []
         self.levels: list[dict] = []
         starts = np.arange(0, self.n, self.LEAF)
         both, any_ = np.bitwise_and.reduceat(fps, starts), np.bitwise_or.reduceat(fps, starts)
@@ -122,8 +123,10 @@ class GrayIndex:
             self.parent = up
 
     def union(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Unites the components of linked pairs, and keeps the pairs that did unite two."""
         parent = self.parent
-        for x, y in zip(a.tolist(), b.tolist()):
+        for a_, b_ in zip(a.tolist(), b.tolist()):
+            x, y = a_, b_
             while parent[x] != x:
                 parent[x] = parent[parent[x]]
                 x = parent[x]
@@ -132,6 +135,7 @@ class GrayIndex:
                 y = parent[y]
             if x != y:
                 parent[max(x, y)] = min(x, y)
+                self.merges.append((a_, b_))
 
     def _mark(self) -> np.ndarray:
         """Roots, and for each node the least and greatest root below it."""
@@ -177,37 +181,39 @@ class GrayIndex:
 
 
 def _link_groups(group: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs that span the components of each run of equal group numbers."""
+    """Of each run of equal group numbers, linked pairs that make a forest of its components."""
     starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
     sizes = np.diff(np.append(starts, len(group)))
     a_out, b_out = [], []
+
+    def give(f: np.ndarray, merges: list) -> None:
+        pairs = np.array(merges, np.int64).reshape(-1, 2)
+        a_out.append(f[pairs[:, 0]])
+        b_out.append(f[pairs[:, 1]])
+
     small = np.repeat((sizes > 1) & (sizes <= GrayIndex.LEAF), sizes)
     at = np.flatnonzero(small)
     if len(at):
         # groups of one leaf: compare neighbours at every offset
         g, f = group[at], fps[at]
-        parent = GrayIndex.__new__(GrayIndex)
-        parent.parent = np.arange(len(at))
+        leaf = GrayIndex.__new__(GrayIndex)
+        leaf.parent, leaf.merges = np.arange(len(at)), []
         for s in range(1, min(GrayIndex.LEAF, len(at))):
             i = np.flatnonzero((g[s:] == g[:-s]) & (np.bitwise_count(f[s:] ^ f[:-s]) <= radius))
             if len(i):
-                parent.union(i, i + s)
-        root = parent.roots()
-        moved = np.flatnonzero(root != np.arange(len(at)))
-        a_out.append(f[moved])
-        b_out.append(f[root[moved]])
+                leaf.union(i, i + s)
+        give(f, leaf.merges)
     for k in np.flatnonzero(sizes > GrayIndex.LEAF):
         f = fps[starts[k] : starts[k] + sizes[k]]
-        root = GrayIndex(f, radius).link()
-        moved = np.flatnonzero(root != np.arange(len(f)))
-        a_out.append(f[moved])
-        b_out.append(f[root[moved]])
+        index = GrayIndex(f, radius)
+        index.link()
+        give(f, index.merges)
     empty = np.zeros(0, np.uint64)
     return np.concatenate([empty, *a_out]), np.concatenate([empty, *b_out])
 
 
 def linked(fps: DataFrame, radius: int) -> DataFrame:
-    """(a, b) of distinct fingerprints: a forest whose components are those of all links."""
+    """(a, b) of distinct fingerprints: linked pairs, enough of them for the components of all links."""
     masks = choose_masks(fps.count(), radius)
     nodes = F.array(*(F.struct(F.lit(i).cast("short").alias("m"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("k")) for i, m in enumerate(masks)))
     dealt = fps.select("fp", gray_rank(F.col("fp")).alias("g"), F.inline(nodes))
@@ -235,17 +241,46 @@ def linked(fps: DataFrame, radius: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar(links: DataFrame, rows: DataFrame, docs: DataFrame, shingle: int, least: float, text_col: str) -> DataFrame:
+    """The links whose texts' sets of shingles have a Jaccard similarity of least or more.
+
+    A fingerprint's text is one of those that have it. Only linked texts are read again; the
+    sets are written once and meet their links by joins on the fingerprint.
+    """
+    need = links.select(F.col("a").alias("fp")).unionAll(links.select("b")).distinct()
+    chosen = materialize(rows.join(need, "fp", "left_semi").groupBy("fp").agg(F.min("key").alias("key")), "linked-texts")
+    texts = docs.select(F.xxhash64(column(text_col)).alias("key"), column(text_col).alias("text"))
+    texts = texts.join(chosen.select("key").distinct(), "key", "left_semi")
+
+    def sets(batches):
+        for batch in slices(batches, 1):
+            hashes = [np.unique(shingle_hashes(t or "", shingle)).view(np.int64) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(hashes, pa.list_(pa.int64()))], names=["key", "set"])
+
+    # copies of a text have one set; one row of them is kept before the shuffle
+    shingles = texts.mapInArrow(sets, "key long, set array<long>").groupBy("key").agg(F.any_value("set").alias("set"))
+    shingles = materialize(shingles.join(chosen, "key").select("fp", "set"), "shingle-sets")
+    a, b = (shingles.select(F.col("fp").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
+    both = links.join(a, "a").join(b, "b")
+    common = F.size(F.array_intersect("set_a", "set_b"))
+    return both.where(common >= least * (F.size("set_a") + F.size("set_b") - common)).select("a", "b")
+
+
+def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, least: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, key, fp, component_id, group) of every row of docs.
 
-    group is the fingerprint that stands for the component; component_id is the smallest doc_id reachable over links of at most radius bits. Copies
+    group is the fingerprint that stands for the component; component_id is the smallest doc_id reachable over links of at most radius bits and, if least
+    is given, of at least that similarity of the texts' sets of shingles. Copies
     collapse to one fingerprint before any search, and pairs are never listed: an index gives
     a forest. Null texts count as empty, all empty texts share fingerprint zero; null ids take
     part but are no component's id unless it has no other. Repeated rows stay repeated.
     """
     rows = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     fps = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-fingerprints")
-    found = materialize(components(linked(fps.select("fp"), radius), "a", "b"), "fingerprint-components")
+    links = linked(fps.select("fp"), radius)
+    if least is not None:
+        links = similar(materialize(links, "links"), rows, docs, shingle, least, text_col)
+    found = materialize(components(links, "a", "b"), "fingerprint-components")
     with_rep = found.join(fps, found["node"] == fps["fp"]).select("fp", "root", "rep")
     least = materialize(with_rep.groupBy("root").agg(F.min("rep").alias("least")), "component-ids")
     ids = found.join(least, "root").select(F.col("node").alias("fp"), "root", "least")
@@ -253,12 +288,12 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, id_col:
     return rows.join(materialize(ids, "fingerprint-ids"), "fp").select("doc_id", "key", "fp", "component_id", "group")
 
 
-def keep_one(docs: DataFrame, radius: int, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, radius: int, shingle: int, least: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each component: that of the smallest id, of ties the smallest text hash.
 
     A row with an id goes before one without; of repeated rows one stays. Columns are unchanged.
     """
-    rows = materialize(near_duplicates(docs, radius, shingle, id_col, text_col), "near-duplicates")
+    rows = materialize(near_duplicates(docs, radius, shingle, least, id_col, text_col), "near-duplicates")
     first = rows.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"))
     first = materialize(first.select(F.col("first.doc_id").alias("__brindle_id"), F.col("first.key").alias("__brindle_key")), "kept-rows")
     repeated = rows.groupBy("doc_id", "key").count().where("count > 1").limit(1).count()

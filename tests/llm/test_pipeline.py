@@ -21,7 +21,14 @@ def test_stages(spark, sf_dir):
         if name == "simhash_dedup":
             # brute force: the smallest id of each component of all links
             rows = before.select("doc_id", "text").collect()
-            fps = np.array([simhash.fingerprint(simhash.shingle_hashes(r.text or "", corpus_pipeline.SHINGLE)) for r in rows], np.uint64)
+            hashes = [simhash.shingle_hashes(r.text or "", corpus_pipeline.SHINGLE) for r in rows]
+            fps = np.array([simhash.fingerprint(h) for h in hashes], np.uint64)
+            sets = [set(h.tolist()) for h in hashes]
+
+            def linked(i, j):
+                both = len(sets[i] & sets[j])
+                return fps[i] == fps[j] or both >= corpus_pipeline.SIMILARITY * (len(sets[i]) + len(sets[j]) - both)
+
             left, kept = set(range(len(rows))), set()
             while left:
                 group, todo = set(), [min(left)]
@@ -30,7 +37,7 @@ def test_stages(spark, sf_dir):
                     if i in group:
                         continue
                     group.add(i)
-                    todo += np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= corpus_pipeline.RADIUS).tolist()
+                    todo += [j for j in np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= corpus_pipeline.RADIUS).tolist() if linked(i, j)]
                 left -= group
                 kept.add(min(rows[i].doc_id for i in group))
             assert {r.doc_id for r in after.select("doc_id").collect()} == kept
