@@ -9,8 +9,9 @@ from brindle.llm import lines, packing, pii, simhash, toxicity
 from brindle.llm.common import materialize, read
 from brindle.llm.queries import learnable_labels
 
-#: SimHash of five-word shingles; this many differing bits at most make a near copy.
-SHINGLE, RADIUS = 5, 6
+#: Near copies: SimHash of five-word shingles finds pairs of at most so many differing bits, and
+#: their sets of shingles must be alike by so much.
+SHINGLE, RADIUS, SIMILARITY = 5, 6, 0.8
 
 
 def _measured(docs: DataFrame, before: DataFrame) -> DataFrame:
@@ -33,7 +34,7 @@ def cut_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    return simhash.keep_one(docs, RADIUS, SHINGLE)
+    return simhash.keep_one(docs, RADIUS, SHINGLE, SIMILARITY)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
