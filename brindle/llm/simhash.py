@@ -14,7 +14,7 @@ from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, column, materialize, slices
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return df.mapInArrow(run, f"doc_id {kind}, key long, fp long")
 
 
-def choose_masks(n: int, radius: int, per_node: int = 8, most: int = 150) -> list[int]:
+def choose_masks(n: int, radius: int, per_node: int = 8, most: int = 170) -> list[int]:
     """Masks of agreeing blocks so that any two fingerprints within radius agree under one.
 
     Of b blocks, radius differences leave b - radius untouched. The cheapest choice that
@@ -241,16 +241,27 @@ def linked(fps: DataFrame, radius: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def similar(links: DataFrame, rows: DataFrame, docs: DataFrame, shingle: int, least: float, text_col: str) -> DataFrame:
-    """The links whose texts' sets of shingles have a Jaccard similarity of least or more.
+def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, key, fp, component_id) of every row of docs.
 
-    A fingerprint's text is one of those that have it. Only linked texts are read again; the
-    sets are written once and meet their links by joins on the fingerprint.
+    component_id is the smallest doc_id reachable over links of at most radius bits. Copies
+    collapse to one fingerprint before any search, and pairs are never listed: an index gives
+    a forest. Null texts count as empty, all empty texts share fingerprint zero; null ids take
+    part but are no component's id unless it has no other. Repeated rows stay repeated.
     """
-    need = links.select(F.col("a").alias("fp")).unionAll(links.select("b")).distinct()
-    chosen = materialize(rows.join(need, "fp", "left_semi").groupBy("fp").agg(F.min("key").alias("key")), "linked-texts")
-    texts = docs.select(F.xxhash64(column(text_col)).alias("key"), column(text_col).alias("text"))
-    texts = texts.join(chosen.select("key").distinct(), "key", "left_semi")
+    rows = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    fps = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-fingerprints")
+    found = materialize(components(linked(fps.select("fp"), radius), "a", "b"), "fingerprint-components")
+    with_rep = found.join(fps, found["node"] == fps["fp"]).select("fp", "root", "rep")
+    least = materialize(with_rep.groupBy("root").agg(F.min("rep").alias("least")), "component-ids")
+    ids = found.join(least, "root").select(F.col("node").alias("fp"), "least")
+    ids = fps.join(ids, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
+    return rows.join(materialize(ids, "fingerprint-ids"), "fp").select("doc_id", "key", "fp", "component_id")
+
+
+def shingle_sets(docs: DataFrame, keys: DataFrame, shingle: int, text_col: str) -> DataFrame:
+    """(key, set): the distinct shingles of each text whose key is in keys."""
+    texts = docs.select(F.xxhash64(column(text_col)).alias("key"), column(text_col).alias("text")).join(keys, "key", "left_semi")
 
     def sets(batches):
         for batch in slices(batches, 1):
@@ -258,43 +269,81 @@ def similar(links: DataFrame, rows: DataFrame, docs: DataFrame, shingle: int, le
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(hashes, pa.list_(pa.int64()))], names=["key", "set"])
 
     # copies of a text have one set; one row of them is kept before the shuffle
-    shingles = texts.mapInArrow(sets, "key long, set array<long>").groupBy("key").agg(F.any_value("set").alias("set"))
-    shingles = materialize(shingles.join(chosen, "key").select("fp", "set"), "shingle-sets")
-    a, b = (shingles.select(F.col("fp").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
+    return texts.mapInArrow(sets, "key long, set array<long>").groupBy("key").agg(F.any_value("set").alias("set"))
+
+
+def alike(links: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The links (a, b) whose sets have a Jaccard similarity of least or more; two empty sets have."""
+    a, b = (sets.select(F.col("key").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
     both = links.join(a, "a").join(b, "b")
     common = F.size(F.array_intersect("set_a", "set_b"))
     return both.where(common >= least * (F.size("set_a") + F.size("set_b") - common)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, least: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, key, fp, component_id, group) of every row of docs.
+def missed(near: DataFrame, good: DataFrame, groups: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links of alike texts that a forest of near fingerprints passed over.
 
-    group is the fingerprint that stands for the component; component_id is the smallest doc_id reachable over links of at most radius bits and, if least
-    is given, of at least that similarity of the texts' sets of shingles. Copies
-    collapse to one fingerprint before any search, and pairs are never listed: an index gives
-    a forest. Null texts count as empty, all empty texts share fingerprint zero; null ids take
-    part but are no component's id unless it has no other. Repeated rows stay repeated.
+    A forest holds some links of a component; where one of them fails the similarity, another
+    pair of that component, not in the forest, may pass it. Only such components are searched,
+    between the groups found so far: alike sets share one of their rarest shingles (prefix
+    filter), and a shingle's largest group is never paired with itself.
     """
-    rows = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    fps = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-fingerprints")
-    links = linked(fps.select("fp"), radius)
-    if least is not None:
-        links = similar(materialize(links, "links"), rows, docs, shingle, least, text_col)
-    found = materialize(components(links, "a", "b"), "fingerprint-components")
-    with_rep = found.join(fps, found["node"] == fps["fp"]).select("fp", "root", "rep")
-    least = materialize(with_rep.groupBy("root").agg(F.min("rep").alias("least")), "component-ids")
-    ids = found.join(least, "root").select(F.col("node").alias("fp"), "root", "least")
-    ids = fps.join(ids, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"), F.coalesce("root", "fp").alias("group"))
-    return rows.join(materialize(ids, "fingerprint-ids"), "fp").select("doc_id", "key", "fp", "component_id", "group")
-
-
-def keep_one(docs: DataFrame, radius: int, shingle: int, least: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component: that of the smallest id, of ties the smallest text hash.
+    bounds = materialize(components(near, "a", "b"), "near-components").toDF("key", "bound")
+    broken = near.join(good, ["a", "b"], "left_anti").select(F.col("a").alias("key")).join(bounds, "key").select("bound").distinct()
+    members = bounds.join(broken, "bound", "left_semi").join(groups.toDF("key", "root"), "key", "left")
+    members = materialize(members.select("key", "bound", F.coalesce("root", "key").alias("root")), "split-components")
+    apart = members.groupBy("bound").agg((F.min("root") != F.max("root")).alias("apart")).where("apart")
+    grams = members.join(apart, "bound", "left_semi").join(sets, "key").select("key", "bound", "root", F.size("set").alias("n"), F.explode("set").alias("w"))
+    grams = materialize(grams, "split-shingles")
+    seen = grams.join(grams.groupBy("bound", "w").agg(F.count(F.lit(1)).alias("times")), ["bound", "w"])
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("times", "w"))
+    rare = seen.withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
+    rare = materialize(rare.select("key", "bound", "root", "n", "w"), "rare-shingles")
+    by_root = rare.groupBy("bound", "w", "root").agg(F.count(F.lit(1)).alias("times"))
+    # a shingle of one group alone pairs nothing
+    major = by_root.groupBy("bound", "w").agg(F.max_by("root", F.struct("times", "root")).alias("major"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("bound", "w", "major")
+    held = materialize(rare.join(major, ["bound", "w"]), "shared-shingles")
+    one = held.where("root != major").select("bound", "w", "major", F.col("key").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
+    two = held.select("bound", "w", F.col("key").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
+    sizes = (F.col("na") >= least * F.col("nb") - 1e-9) & (F.col("nb") >= least * F.col("na") - 1e-9)
+    pairs = one.join(two, ["bound", "w"]).where((F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("major")) | (F.col("a") < F.col("b"))) & sizes)
+    return alike(materialize(pairs.select("a", "b").distinct(), "split-pairs"), sets, least)
+
+
+def similar_groups(docs: DataFrame, radius: int, feature: int, shingle: int, least: float, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key) of every row, key a hash of its text, and (key, group) of the texts that are like another.
+
+    Two texts are linked if their sets of runs of `shingle` words have a Jaccard similarity of
+    least or more and steps of at most radius bits lead from one's fingerprint to the other's.
+    Fingerprints are of runs of `feature` words: fewer words change fewer of them an edit, so
+    near copies come closer. Null texts count as empty; all empty texts are linked.
+    """
+    rows = materialize(fingerprints(docs, id_col, text_col, feature), "fingerprints")
+    texts = materialize(rows.groupBy("key").agg(F.any_value("fp").alias("fp")), "distinct-texts")
+    heads = materialize(texts.groupBy("fp").agg(F.min("key").alias("head")), "distinct-fingerprints")
+    a, b = (heads.select(F.col("fp").alias(x), F.col("head").alias(f"key_{x}")) for x in "ab")
+    between = linked(heads.select("fp"), radius).join(a, "a").join(b, "b").select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
+    within = texts.join(heads, "fp").where("key != head").select(F.col("head").alias("a"), F.col("key").alias("b"))
+    near = materialize(between.unionAll(within), "near-links")
+    ends = near.select(F.col("a").alias("key")).unionAll(near.select("b")).distinct()
+    sets = materialize(shingle_sets(docs, ends, shingle, text_col), "shingle-sets")
+    good = materialize(alike(near, sets, least), "alike-links")
+    groups = materialize(components(good, "a", "b"), "alike-components")
+    if good.count() < near.count():
+        more = missed(near, good, groups, sets, least)
+        groups = materialize(components(good.unionAll(more), "a", "b"), "alike-components")
+    return rows.select("doc_id", "key"), groups.toDF("key", "group")
+
+
+def keep_one(docs: DataFrame, radius: int, feature: int, shingle: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each group of similar_groups: that of the smallest id, of ties the smallest text hash.
 
     A row with an id goes before one without; of repeated rows one stays. Columns are unchanged.
     """
-    rows = materialize(near_duplicates(docs, radius, shingle, least, id_col, text_col), "near-duplicates")
-    first = rows.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"))
+    rows, groups = similar_groups(docs, radius, feature, shingle, least, id_col, text_col)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    per_text = rows.groupBy("key").agg(F.min(order).alias("first"))
+    first = per_text.join(groups, "key", "left").groupBy(F.coalesce("group", "key").alias("group")).agg(F.min("first").alias("first"))
     first = materialize(first.select(F.col("first.doc_id").alias("__brindle_id"), F.col("first.key").alias("__brindle_key")), "kept-rows")
     repeated = rows.groupBy("doc_id", "key").count().where("count > 1").limit(1).count()
     keyed = docs.withColumn("__brindle_h", F.xxhash64(column(text_col)))

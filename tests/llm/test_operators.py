@@ -290,7 +290,7 @@ def test_index_finds_all_components(spark, radius):
 
 def test_masks_cover_all_pairs():
     rng = random.Random(17)
-    for n, radius in ((10, 4), (10**6, 4), (10**10, 4), (10**5, 6)):
+    for n, radius in ((10, 4), (10**6, 4), (10**10, 4), (10**5, 6), (10**7, 8)):
         masks = simhash.choose_masks(n, radius)
         for _ in range(300):
             diff = sum(1 << b for b in rng.sample(range(64), radius))
@@ -310,6 +310,48 @@ def test_simhash_dedup(spark, odd):
     assert simhash.near_duplicates(empty(spark)).count() == 0 and simhash.keep_one(empty(spark), 4, 5).count() == 0
 
 
+def brute_groups(texts, radius, feature, shingle, least):
+    """Smallest position in each text's group: alike texts whose fingerprints are joined by near steps."""
+    fps = np.array([brute_fingerprint(t, feature) for t in texts], np.uint64)
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set())
+    n = len(texts)
+    near = roots(n, [(i, j) for i in range(n) for j in range(i) if (int(fps[i]) ^ int(fps[j])).bit_count() <= radius])
+    return roots(n, [(i, j) for i in range(n) for j in range(i) if near[i] == near[j] and len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])])
+
+
+def test_groups_lose_no_alike_texts(spark, monkeypatch):
+    rng = random.Random(23)
+    texts = [None, "", "  ", "one", "one", "two words"]
+    # texts ruled by one line have near fingerprints whether alike or not; each has a few near copies
+    for _ in range(25):
+        words = ["same", "old", "line"] * 60 + [f"w{rng.randint(0, 10**6)}" for _ in range(60)]
+        for _ in range(rng.randint(1, 4)):
+            copy = list(words)
+            for _ in range(rng.randint(0, 4)):
+                copy[rng.randrange(180, 240)] = f"e{rng.randint(0, 10**6)}"
+            texts.append(" ".join(copy))
+    for _ in range(10):
+        words = [f"v{rng.randint(0, 10**6)}" for _ in range(150)]
+        for _ in range(3):
+            copy = list(words)
+            for _ in range(rng.randint(0, 5)):
+                copy[rng.randrange(150)] = f"e{rng.randint(0, 10**6)}"
+            texts.append(" ".join(copy))
+    searched = []
+    missed = simhash.missed
+    monkeypatch.setattr(simhash, "missed", lambda *a: searched.append(missed(*a).count()) or missed(*a))
+    expected = brute_groups(texts, 8, 2, 5, 0.8)
+    kept = simhash.keep_one(frame(spark, [(i, t, None, None, None) for i, t in enumerate(texts)]), 8, 2, 5, 0.8)
+    first = {}
+    for i, r in enumerate(expected):
+        first.setdefault(r, i)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(first.values())
+    assert searched and searched[0] > 0  # the forest alone would have lost some
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(19)
     x = rng.standard_normal((300, 16))

@@ -19,27 +19,32 @@ def test_stages(spark, sf_dir):
         if name in ("line_dedup", "pii"):
             assert after.count() == before.count()
         if name == "simhash_dedup":
-            # brute force: the smallest id of each component of all links
-            rows = before.select("doc_id", "text").collect()
-            hashes = [simhash.shingle_hashes(r.text or "", corpus_pipeline.SHINGLE) for r in rows]
-            fps = np.array([simhash.fingerprint(h) for h in hashes], np.uint64)
-            sets = [set(h.tolist()) for h in hashes]
+            # brute force: the smallest id of each group of alike texts joined by near fingerprints
+            rows = before.select("doc_id", "text").orderBy("doc_id").collect()
+            fps = np.array([simhash.fingerprint(simhash.shingle_hashes(r.text or "", corpus_pipeline.FEATURE)) for r in rows], np.uint64)
+            sets = [set(simhash.shingle_hashes(r.text or "", corpus_pipeline.SHINGLE).tolist()) for r in rows]
 
-            def linked(i, j):
+            def alike(i, j):
                 both = len(sets[i] & sets[j])
-                return fps[i] == fps[j] or both >= corpus_pipeline.SIMILARITY * (len(sets[i]) + len(sets[j]) - both)
-
-            left, kept = set(range(len(rows))), set()
-            while left:
-                group, todo = set(), [min(left)]
-                while todo:
-                    i = todo.pop()
-                    if i in group:
-                        continue
-                    group.add(i)
-                    todo += [j for j in np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= corpus_pipeline.RADIUS).tolist() if linked(i, j)]
-                left -= group
-                kept.add(min(rows[i].doc_id for i in group))
+                return both >= corpus_pipeline.SIMILARITY * (len(sets[i]) + len(sets[j]) - both)
+
+            def groups(todo, near):
+                left = set(todo)
+                while left:
+                    group, reach = set(), [min(left)]
+                    while reach:
+                        i = reach.pop()
+                        if i in group:
+                            continue
+                        group.add(i)
+                        reach += near(i, left)
+                    left -= group
+                    yield group
+
+            kept = set()
+            for close in groups(range(len(rows)), lambda i, _: np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= corpus_pipeline.RADIUS).tolist()):
+                for group in groups(close, lambda i, left: [j for j in left if alike(i, j)]):
+                    kept.add(min(rows[i].doc_id for i in group))
             assert {r.doc_id for r in after.select("doc_id").collect()} == kept
         before = after
     assert {r[0] for r in before.select("doc_id").distinct().collect()} == kept
