@@ -9,9 +9,9 @@ from brindle.llm import lines, packing, pii, simhash, toxicity
 from brindle.llm.common import materialize, read
 from brindle.llm.queries import learnable_labels
 
-#: Near copies: SimHash of five-word shingles finds pairs of at most so many differing bits, and
-#: their sets of shingles must be alike by so much.
-SHINGLE, RADIUS, SIMILARITY = 5, 6, 0.8
+#: Near copies: their sets of five-word shingles are alike by so much; fingerprints of word pairs,
+#: which an edit moves less, find them by at most so many differing bits.
+SHINGLE, SIMILARITY, FEATURE, RADIUS = 5, 0.8, 2, 8
 
 
 def _measured(docs: DataFrame, before: DataFrame) -> DataFrame:
@@ -34,7 +34,7 @@ def cut_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    return simhash.keep_one(docs, RADIUS, SHINGLE, SIMILARITY)
+    return simhash.keep_one(docs, RADIUS, FEATURE, SHINGLE, SIMILARITY)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
