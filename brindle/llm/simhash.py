@@ -280,34 +280,70 @@ def alike(links: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.where(common >= least * (F.size("set_a") + F.size("set_b") - common)).select("a", "b")
 
 
+#: Most central texts of a component that all its texts are compared with in a round, and the rounds.
+HUBS, ROUNDS = 8, 2
+
+
+def _pairs(left: DataFrame, right: DataFrame, on: list[str], least: float, extra=None) -> DataFrame:
+    """Distinct (a, b) of rows that meet on `on`, are of two roots, and whose sets' sizes allow a similarity of least."""
+    one = left.select(*on, *(F.col(c).alias(f"{c}_a") for c in left.columns if c not in on))
+    two = right.select(*on, *(F.col(c).alias(f"{c}_b") for c in right.columns if c not in on))
+    fit = (F.col("root_a") != F.col("root_b")) & (F.col("n_a") >= least * F.col("n_b") - 1e-9) & (F.col("n_b") >= least * F.col("n_a") - 1e-9)
+    met = one.join(two, on).where(fit if extra is None else fit & extra)
+    return met.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")).distinct()
+
+
 def missed(near: DataFrame, good: DataFrame, groups: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Links of alike texts that a forest of near fingerprints passed over.
+    """good with more links of alike texts, those that a forest of near fingerprints passed over.
 
     A forest holds some links of a component; where one of them fails the similarity, another
     pair of that component, not in the forest, may pass it. Only such components are searched,
-    between the groups found so far: alike sets share one of their rarest shingles (prefix
-    filter), and a shingle's largest group is never paired with itself.
+    between the groups found so far. First all texts of one meet its most central ones, whose
+    shingles the others share most, round by round outside its largest group. This joins near
+    copies of one text by a link each. What is still apart meets by prefix filter: alike sets
+    share one of their rarest shingles, and a shingle's largest group isn't paired with itself.
     """
     bounds = materialize(components(near, "a", "b"), "near-components").toDF("key", "bound")
     broken = near.join(good, ["a", "b"], "left_anti").select(F.col("a").alias("key")).join(bounds, "key").select("bound").distinct()
-    members = bounds.join(broken, "bound", "left_semi").join(groups.toDF("key", "root"), "key", "left")
-    members = materialize(members.select("key", "bound", F.coalesce("root", "key").alias("root")), "split-components")
-    apart = members.groupBy("bound").agg((F.min("root") != F.max("root")).alias("apart")).where("apart")
-    grams = members.join(apart, "bound", "left_semi").join(sets, "key").select("key", "bound", "root", F.size("set").alias("n"), F.explode("set").alias("w"))
-    grams = materialize(grams, "split-shingles")
-    seen = grams.join(grams.groupBy("bound", "w").agg(F.count(F.lit(1)).alias("times")), ["bound", "w"])
+    texts = materialize(bounds.join(broken, "bound", "left_semi").join(sets, "key").select("key", "bound", F.size("set").alias("n"), "set"), "split-components")
+    grams = texts.select("key", "bound", F.explode("set").alias("w"))
+    times = materialize(grams.groupBy("bound", "w").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "shared-shingles")
+    counted = materialize(grams.join(times, ["bound", "w"]), "split-shingles")
+    score = counted.groupBy("key").agg(F.sum("times").alias("score"))
+    scored = texts.select("key", "bound", "n").join(score, "key", "left").select("key", "bound", "n", (F.coalesce("score", F.lit(0)) / F.col("n")).alias("score"))
+    scored = materialize(scored.where("n > 0"), "central-texts")
+
+    def members() -> DataFrame:
+        now = scored.join(groups.toDF("key", "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+        apart = now.groupBy("bound").agg((F.min("root") != F.max("root")).alias("apart")).where("apart").select("bound")
+        return materialize(now.join(apart, "bound", "left_semi"), "members")
+
+    for round_ in range(ROUNDS):
+        now = members()
+        open_ = now
+        if round_:
+            sizes = now.groupBy("bound", "root").count().groupBy("bound").agg(F.max_by("root", F.struct("count", "root")).alias("major"))
+            open_ = now.join(sizes, "bound").where("root != major").drop("major")
+        rank = F.row_number().over(Window.partitionBy("bound").orderBy(F.desc("score"), "key"))
+        hubs = open_.withColumn("rank", rank).where(F.col("rank") <= HUBS).drop("rank")
+        more = alike(materialize(_pairs(now.drop("score"), hubs.drop("score"), ["bound"], least), "hub-pairs"), sets, least)
+        good = materialize(good.unionAll(more), "alike-links")
+        groups = materialize(components(good, "a", "b"), "alike-components")
+
+    now = members().drop("score")
     rank = F.row_number().over(Window.partitionBy("key").orderBy("times", "w"))
-    rare = seen.withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
-    rare = materialize(rare.select("key", "bound", "root", "n", "w"), "rare-shingles")
+    # shingles of one text alone come first in its order and pair nothing
+    alone = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("key"))
+    ranked = counted.join(now, ["key", "bound"]).withColumns({"rank": rank, "alone": alone})
+    rare = materialize(ranked.where(F.col("rank") + F.col("alone") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select("key", "bound", "root", "n", "w", (F.col("n") - F.col("rank") - F.col("alone")).alias("after")), "rare-shingles")
     by_root = rare.groupBy("bound", "w", "root").agg(F.count(F.lit(1)).alias("times"))
-    # a shingle of one group alone pairs nothing
-    major = by_root.groupBy("bound", "w").agg(F.max_by("root", F.struct("times", "root")).alias("major"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("bound", "w", "major")
-    held = materialize(rare.join(major, ["bound", "w"]), "shared-shingles")
-    one = held.where("root != major").select("bound", "w", "major", F.col("key").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
-    two = held.select("bound", "w", F.col("key").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
-    sizes = (F.col("na") >= least * F.col("nb") - 1e-9) & (F.col("nb") >= least * F.col("na") - 1e-9)
-    pairs = one.join(two, ["bound", "w"]).where((F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("major")) | (F.col("a") < F.col("b"))) & sizes)
-    return alike(materialize(pairs.select("a", "b").distinct(), "split-pairs"), sets, least)
+    major = by_root.groupBy("bound", "w").agg(F.max_by("root", F.struct("times", "root")).alias("major"), F.count(F.lit(1)).alias("roots")).where("roots > 1").drop("roots")
+    held = materialize(rare.join(major, ["bound", "w"]), "rare-shared-shingles")
+    once = (F.col("root_b") == F.col("major_b")) | (F.col("key_a") < F.col("key_b"))
+    # at the first shingle that two texts share, what follows it bounds what they share in all
+    enough = F.least("after_a", "after_b") + 1 >= (F.col("n_a") + F.col("n_b")) * (least / (1 + least)) - 1e-9
+    pairs = _pairs(held.where("root != major"), held, ["bound", "w"], least, once & enough)
+    return good.unionAll(alike(materialize(pairs, "split-pairs"), sets, least))
 
 
 def similar_groups(docs: DataFrame, radius: int, feature: int, shingle: int, least: float, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -331,7 +367,7 @@ def similar_groups(docs: DataFrame, radius: int, feature: int, shingle: int, lea
     groups = materialize(components(good, "a", "b"), "alike-components")
     if good.count() < near.count():
         more = missed(near, good, groups, sets, least)
-        groups = materialize(components(good.unionAll(more), "a", "b"), "alike-components")
+        groups = materialize(components(more, "a", "b"), "alike-components")
     return rows.select("doc_id", "key"), groups.toDF("key", "group")
 
 
