@@ -389,6 +389,29 @@ def test_component_blocks_count_every_pair(spark):
     assert [got[i] for i in range(150)] == expected.tolist()
 
 
+def test_embeddings_find_all_links_of_a_dense_label(spark):
+    rng = np.random.default_rng(29)
+    # all pairs of the region are at a cosine of about 0.95, planted pairs at 0.981
+    base = rng.standard_normal(64)
+    x = base / np.linalg.norm(base) + rng.standard_normal((3000, 64)) * 0.0287
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    step = rng.standard_normal((200, 64))
+    step -= (step * x[:200]).sum(1, keepdims=True) * x[:200]
+    step /= np.linalg.norm(step, axis=1, keepdims=True)
+    x[200:400] = 0.981 * x[:200] + np.sqrt(1 - 0.981**2) * step
+    rows = [(i, [float(v) for v in r], 1) for i, r in enumerate(np.float32(x))]
+    u = embeddings.unit([r[1] for r in rows])
+    near = (u @ u.T) >= 0.98
+    np.fill_diagonal(near, False)
+    expected = roots(3000, [(i, j) for i, j in zip(*np.nonzero(near)) if i > j])
+    assert 0.93 < np.median(u[:50] @ u[500:].T) < 0.97 and near[np.arange(200), np.arange(200, 400)].all()
+    df = frame(spark, rows, "vec_id long, embedding array<float>, label int")
+    for settings in (embeddings.Settings(), embeddings.Settings(most_side=700, tile=100)):
+        got = {r.vec_id: r for r in embeddings.near_duplicates(df, settings).collect()}
+        assert [got[i].n_links for i in range(3000)] == near.sum(1).tolist()
+        assert [got[i].component_id for i in range(3000)] == expected
+
+
 # BPE and packing ----------------------------------------------------------------------------
 
 
