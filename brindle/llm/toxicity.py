@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from .common import column, map_arrow, slices
 
 WORD = re.compile(r"[^\W_]+")
+MOST_SUMMED = 64  # segments whose sum is put to the test, at most
 
 
 @dataclass(frozen=True)
@@ -91,21 +92,14 @@ def segments(scores: list[tuple[int, int, float]]) -> list[tuple[int, int, float
 
 
 def text_segments(text: str, model: Model) -> tuple[int, list[tuple[int, int, float]]]:
-    """(tokens, maximal segments as token ranges) of a whole text.
-
-    The model weighs a token by the documents that have it, so a token scores once a text.
-    """
+    """(tokens, maximal segments as token ranges) of a whole text; every occurrence scores."""
     words = WORD.findall(text.lower())
     seen, score = model.seen, model.score
     values = [seen[w] if w in seen else score(w) for w in words]
     if not any(values):
         return len(words), []
     items, last, gap = [], 0, model.settings.gap
-    had: set[str] = set()
     for i in [i for i, v in enumerate(values) if v]:
-        if words[i] in had:
-            continue
-        had.add(words[i])
         if i > last:
             items.append((last, i, gap * (i - last)))
         items.append((i, i + 1, values[i]))
@@ -116,7 +110,7 @@ def text_segments(text: str, model: Model) -> tuple[int, list[tuple[int, int, fl
 def significance(n: int, scores: list[float], model: Model) -> float:
     """-ln of the chance of the best sum of the r best segments, over r."""
     best, total = 0.0, 0.0
-    for r, s in enumerate(sorted(scores, reverse=True)[:64], 1):
+    for r, s in enumerate(sorted(scores, reverse=True)[:MOST_SUMMED], 1):
         total += model.rate * s - math.log(max(model.size * n, 1e-12))
         if r == 1:
             # P = 1 - exp(-e^-x), in full where the approximation below is not yet good
@@ -158,10 +152,10 @@ def _weigh(counts: list[tuple[str, int, int]], toxic: int, clean: int, settings:
     return words, stems
 
 
-def _rate(words: dict[str, float], clean_df: dict[str, float], settings: Settings) -> float:
+def _rate(words: dict[str, float], clean: dict[str, float], settings: Settings) -> float:
     """The positive root of sum p e^(lambda s) = 1 over a clean text's tokens."""
     s = np.array([*words.values(), settings.gap])
-    p = np.array([*(clean_df[w] for w in words), 0.0])
+    p = np.array([*(clean[w] for w in words), 0.0])
     p[-1] = max(0.5, 1 - p[:-1].sum())
     p /= p.sum()
     low, high = 1e-4, 5.0
@@ -212,35 +206,40 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_
 
     def count(batches):
         counts: Counter = Counter()
+        occurrences: Counter = Counter()
         n = [0, 0]
         for batch in batches:
             for y, text in zip(batch.column("y").to_pylist(), batch.column("text").to_pylist()):
                 n[y] += 1
-                words = set(WORD.findall(text.lower()))
+                tokens = WORD.findall(text.lower())
+                words = set(tokens)
+                if not y:
+                    occurrences.update("w" + w for w in tokens)
                 counts.update(("w" + w, y) for w in words)
                 counts.update(("s" + p, y) for p in {w[:k] for w in words for k in stems if len(w) > k})
         counts["n", 0], counts["n", 1] = n
         terms = sorted({t for t, _ in counts})
-        yield pa.RecordBatch.from_pydict({"term": pa.array(terms, pa.string()), "t": pa.array([counts[t, 1] for t in terms], pa.int64()), "c": pa.array([counts[t, 0] for t in terms], pa.int64())})
+        yield pa.RecordBatch.from_pydict({"term": pa.array(terms, pa.string()), "t": pa.array([counts[t, 1] for t in terms], pa.int64()), "c": pa.array([counts[t, 0] for t in terms], pa.int64()), "k": pa.array([occurrences[t] for t in terms], pa.int64())})
 
-    totals = sample.mapInArrow(count, "term string, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    totals = sample.mapInArrow(count, "term string, t long, c long, k long").groupBy("term").agg(*(F.sum(x).alias(x) for x in ("t", "c", "k")))
     # a term that is no likelier in toxic texts cannot score, so it stays on the executors
     rows = totals.where("t >= 2 or term = 'n'").collect()
     n = next((r for r in rows if r[0] == "n"), None)
     if n is None or not n[1] or not n[2]:
         return Model({}, {}, settings)
-    counts = [tuple(r) for r in rows if r[0] != "n"]
+    counts = [tuple(r)[:3] for r in rows if r[0] != "n"]
     model = Model(*_weigh(counts, n[1], n[2], settings), settings)
 
     def scan(batches):
         for batch in batches:
             found = [text_segments(t, model) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"y": batch.column("y"), "n": pa.array([k for k, _ in found], pa.int64()), "s": pa.array([[s for *_, s in x] for _, x in found], pa.list_(pa.float64()))})
+            yield pa.RecordBatch.from_pydict({"y": batch.column("y"), "n": pa.array([k for k, _ in found], pa.int64()), "s": pa.array([sorted((s for *_, s in x), reverse=True)[:MOST_SUMMED] for _, x in found], pa.list_(pa.float64()))})
 
     scanned = sample.mapInArrow(scan, "y int, n long, s array<double>").collect()
     clean = [(k, s) for y, k, s in scanned if y == 0]
     tokens = max(1.0, sum(k for k, _ in clean))
-    shares = {w: (c + 0.5) / tokens for t, _, c in counts if t[0] == "w" and (w := t[1:]) in model.words}
+    # words weigh by the documents that have them, but the scan meets every occurrence
+    shares = {w: (k + 0.5) / tokens for t, *_, k in rows if t[0] == "w" and (w := t[1:]) in model.words}
     model.rate = _rate(model.words, shares, settings)
     mean = sum(k * math.exp(-model.rate * max(s, default=0.0)) for k, s in clean) / len(clean)
     model.size = 1 / max(mean, 1e-9)

@@ -155,6 +155,20 @@ def test_toxicity_held_out(spark, odd):
     assert toxicity.drop_toxic(docs, blank).count() == docs.count()
 
 
+def test_toxicity_scores_every_occurrence(spark):
+    docs, labels = toxic_corpus(spark)
+    model = toxicity.fit(docs, queries.learnable_labels(labels))
+    plain = ["tana", "reko", "mope", "lido", "suna"] * 60
+    dense = ["vile", "scum", "hateful", "vile", "scum"]
+    scattered = list(plain)
+    scattered[20], scattered[120], scattered[220] = "vile", "scum", "hateful"
+    texts = [" ".join(x) for x in (scattered, scattered + dense + plain, plain + dense + plain + dense + plain, plain)]
+    early, late, twice, clean = toxicity.score(frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)]), model, with_passages=True).orderBy("doc_id").collect()
+    assert late.n_segments == 4 and late.score > early.score
+    assert twice.n_segments == 2 and [twice.text[p.start : p.end] for p in twice.passages] == [" ".join(dense)] * 2
+    assert " ".join(dense) in [late.text[p.start : p.end] for p in late.passages] and clean.n_segments == 0
+
+
 # licences -----------------------------------------------------------------------------------
 
 
