@@ -1,6 +1,7 @@
 """Packing of documents into token sequences by lexical retrieval.
 
-Documents are dealt to shards of bounded size. Each shard holds a BM25 inverted index over its
+Documents are dealt to shards of bounded size by their lexical content: the nearest of the
+centres of a sample's weighted terms, so that related documents share a shard. Each shard holds a BM25 inverted index over its
 documents' token ids, with its own collection statistics, as the shards of a search cluster
 do; every document is in one index. A seed document opens a sequence, its unused BM25
 neighbours fill it, best first, and the last one is cut where the sequence is full; what is
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import tokenizer_content
-from .common import bounded_batches, column, slices, worker_cache
+from .common import bounded_batches, column, materialize, slices, worker_cache
 from .wordtable import WordTable
 
 
@@ -32,22 +33,126 @@ class Settings:
     neighbours: int = 48  # asked for at once; asked again while there is room
     k1: float = 1.2
     b: float = 0.75
+    features: int = 64  # of the weighted terms' random projection
+    sampled: int = 16  # documents a shard that the centres are found from
+    least_sampled: int = 2048
+    most_centres: int = 8192
+    rounds: int = 8
+    seed: int = 20
 
 
-def tokenize(docs: DataFrame, shards: int, path: str | None = None, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+@dataclass
+class Router:
+    """Centres of lexical content, and the shards of each: parts[i] of them from first[i] on."""
+
+    idf: np.ndarray
+    centres: np.ndarray
+    first: np.ndarray
+    parts: np.ndarray
+    settings: Settings
+
+    def shards(self, docs: list[np.ndarray], spread: np.ndarray) -> np.ndarray:
+        leaf = nearest(features(docs, self.idf, self.settings), self.centres)
+        return self.first[leaf] + spread % self.parts[leaf]
+
+
+def features(docs: list[np.ndarray], idf: np.ndarray, settings: Settings) -> np.ndarray:
+    """Unit vectors of the documents' weighted terms, projected at random."""
+    size, seed = settings.features, settings.seed
+    planes = worker_cache(f"pack_planes_{size}_{seed}", lambda: np.random.default_rng(seed).standard_normal((1 << 16, size), np.float32))
+    out = np.zeros((len(docs), size), np.float32)
+    for i, ids in enumerate(docs):
+        term, count = np.unique(ids, return_counts=True)
+        v = (np.log1p(count).astype(np.float32) * idf[term]) @ planes[term]
+        out[i] = v / max(float(np.sqrt(v @ v)), 1e-12)
+    return out
+
+
+def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *((x[i : i + 1024] @ centres.T).argmax(1) for i in range(0, len(x), 1024))])
+
+
+def route(x: np.ndarray, mass: np.ndarray, idf: np.ndarray, shards: int, settings: Settings) -> Router:
+    """Spherical k-means; centres too light for a shard share one with those next to them."""
+    k = min(shards, settings.most_centres, len(x))
+    rng = np.random.default_rng(settings.seed)
+    picks, far = [int(rng.integers(len(x)))], np.full(len(x), np.inf)
+    while len(picks) < k:  # the next centre is far from those there are, by the square of its distance
+        far = np.minimum(far, np.square(np.clip(1 - x @ x[picks[-1]], 0, None), dtype=np.float64))
+        if far.sum() <= 0:
+            break
+        picks.append(int(rng.choice(len(x), p=far / far.sum())))
+    centres, k = x[picks], len(picks)
+    for _ in range(settings.rounds):
+        leaf = nearest(x, centres)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, leaf, x)
+        norm = np.sqrt((sums * sums).sum(1, keepdims=True))
+        centres = np.where(norm > 1e-6, sums / np.maximum(norm, 1e-6), centres)
+    share = np.bincount(nearest(x, centres), mass, k) * shards / max(mass.sum(), 1e-9)
+    first, parts = np.zeros(k, np.int64), np.ones(k, np.int64)
+    left, at, used, group, total = np.ones(k, bool), 0, 0, [], 0.0
+    for _ in range(k):
+        left[at] = False
+        group.append(at)
+        total += share[at]
+        if total >= 0.9 or not left.any():
+            first[group], parts[group] = used, max(1, round(total))
+            used, group, total = used + max(1, round(total)), [], 0.0
+        at = int(np.where(left, centres @ centres[at], -np.inf).argmax())
+    return Router(idf, centres, first, parts, settings)
+
+
+def fit_router(docs: DataFrame, shards: int, n: int, path: str | None, settings: Settings, id_col: str, text_col: str) -> Router | None:
+    """A router from a sample picked by a hash of id and text; it bounds what reaches the driver."""
+    if shards < 2:
+        return None
+    want = max(settings.least_sampled, settings.sampled * min(shards, settings.most_centres))
+    picked = F.pmod(F.xxhash64(F.lit("sample"), column(id_col), column(text_col)), F.lit(1 << 30)) < int(min(1.0, want / max(1, n)) * (1 << 30))
+    sample = materialize(tokenize(docs.where(picked), None, path, settings, id_col, text_col).select("ids"), "pack-sample")
+
+    def count(batches):
+        df = np.zeros(1 << 16, np.int64)
+        for batch in batches:
+            for ids in batch.column("ids").to_pylist():
+                df[np.unique(np.frombuffer(ids, "<u2"))] += 1
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_pydict({"term": pa.array(at), "n": pa.array(df[at])})
+
+    df, size = np.zeros(1 << 16), sample.count()
+    if not size:
+        return None
+    for term, c in sample.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n")).collect():
+        df[term] = c
+    idf = np.log1p((size - df + 0.5) / (df + 0.5)).astype(np.float32)
+
+    def project(batches):
+        for batch in batches:
+            own = [np.frombuffer(ids, "<u2") for ids in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"v": pa.array([v.tobytes() for v in features(own, idf, settings)], pa.binary()), "m": pa.array([float(len(x)) for x in own], pa.float64())})
+
+    rows = sorted((bytes(v), m) for v, m in sample.mapInArrow(project, "v binary, m double").collect())
+    x = np.frombuffer(b"".join(v for v, _ in rows), np.float32).reshape(-1, settings.features)
+    return route(x, np.array([m for _, m in rows]), idf, shards, settings)
+
+
+def tokenize(docs: DataFrame, router: Router | None, path: str | None = None, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, shard, ids): ids as bytes of unsigned 16-bit numbers."""
     bounded_batches(docs.sparkSession)
-    df = docs.select(column(id_col).alias("doc_id"), F.pmod(F.xxhash64(column(id_col), column(text_col)), F.lit(shards)).alias("shard"), column(text_col).alias("text"))
+    df = docs.select(column(id_col).alias("doc_id"), F.pmod(F.xxhash64(column(id_col), column(text_col)), F.lit(1 << 31)).alias("spread"), column(text_col).alias("text"))
     content = docs.sparkSession.sparkContext.broadcast(tokenizer_content(path))
     name = "pack_" + hashlib.sha256(content.value.encode()).hexdigest()[:16]
+    routes = docs.sparkSession.sparkContext.broadcast(router)
     kind = df.schema["doc_id"].dataType.simpleString()
     end = np.array([settings.end_id], "<u2").tobytes()
 
     def run(batches):
         table = worker_cache(name, lambda: WordTable(content.value))
         for batch in slices(batches, 2, 500_000):
-            out = [ids.astype("<u2").tobytes() + end for ids in table.ids([t or "" for t in batch.column("text").to_pylist()])]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("shard"), pa.array(out, pa.binary())], names=["doc_id", "shard", "ids"])
+            found = [ids.astype("<u2") for ids in table.ids([t or "" for t in batch.column("text").to_pylist()])]
+            out = [ids.tobytes() + end for ids in found]
+            shard = np.zeros(len(out), np.int64) if routes.value is None else routes.value.shards(found, batch.column("spread").to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(shard), pa.array(out, pa.binary())], names=["doc_id", "shard", "ids"])
 
     return df.mapInArrow(run, f"doc_id {kind}, shard long, ids binary")
 
@@ -151,11 +256,12 @@ def pack(docs: DataFrame, path: str | None = None, settings: Settings = Settings
     """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A null text is empty and packs as its end mark alone. Every row is packed, repeated rows
-    each for itself. Shards follow a hash of id and text, so their sizes even out; a document of
-    any length is in one shard.
+    each for itself. Shards follow the documents' lexical content, and a hash of id and text where
+    one centre fills several; a document of any length is in one shard.
     """
-    size = docs.agg(F.sum(F.octet_length(column(text_col)))).first()[0] or 0
-    tokens = tokenize(docs, max(1, round(size / settings.shard_bytes)), path, settings, id_col, text_col)
+    size, n = docs.agg(F.sum(F.octet_length(column(text_col))), F.count(F.lit(1))).first()
+    router = fit_router(docs, max(1, round((size or 0) / settings.shard_bytes)), n, path, settings, id_col, text_col)
+    tokens = tokenize(docs, router, path, settings, id_col, text_col)
     kind = tokens.schema["doc_id"].dataType.simpleString()
 
     def shard(table: pa.Table) -> pa.Table:

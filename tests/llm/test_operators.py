@@ -505,6 +505,17 @@ def test_packing_puts_related_documents_together():
         assert max(Counter(kinds).values()) >= 0.8 * len(kinds)
 
 
+def test_packing_deals_related_documents_to_one_shard(spark):
+    rng = random.Random(37)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    vocabulary = [["".join(rng.choice(letters) for _ in range(6)) for _ in range(40)] for _ in range(6)]
+    rows = [(i, " ".join(rng.choice(vocabulary[i % 6]) for _ in range(150)), "en", "s", 0) for i in range(360)]
+    pieces = packing.pack(frame(spark, rows), settings=packing.Settings(shard_bytes=sum(len(r[1]) for r in rows) // 6, length=1024)).collect()
+    assert {p.doc_id for p in pieces} == set(range(360)) and len({p.sequence_id >> 32 for p in pieces}) > 1
+    home = {t: Counter(p.sequence_id >> 32 for p in pieces if p.start == 0 and p.doc_id % 6 == t) for t in range(6)}
+    assert all(max(c.values()) >= 0.9 * 60 for c in home.values())
+
+
 # personal data ------------------------------------------------------------------------------
 
 PATTERNS = {
