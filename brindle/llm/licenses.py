@@ -130,27 +130,31 @@ RULES = [
 
 #: Every known sentence holds one of these, so a text without any has none (tested).
 CUES = "mozilla|licen|copyright|reserved|warrant|permission|redistribut|domain|liab|compliance"
-#: Where a sentence ends within a line.
-ENDS = r"([.!?;:])[ \t\r\f\x0b]+"
-
-
-def normalise(sentence: Column) -> Column:
-    return F.btrim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
+#: Where a sentence may end: at the end of a line, or after a stop within one.
+ENDS = r"\n|[.!?;:][ \t\r\f\x0b]+"
+#: A known sentence between two ends; it may run over single ends, but not over a blank line.
+FOUND = r"(?<=\|)(?:{}|copyright [^|]+)(?=\|)".format("|".join(x.replace(" ", "[ |]") for x in sorted(SENTENCES, key=len, reverse=True)))
 
 
 def sentence_ids(text: Column) -> Column:
-    """Identifiers of a text's known sentences, in order."""
+    """Identifiers of a text's known sentences, in order; wrapped lines and comment marks are joined."""
     known = F.create_map(*(F.lit(x) for pair in SENTENCES.items() for x in pair))
 
     def identify(s: Column) -> Column:
-        found = known[s]
+        found = known[F.replace(s, F.lit("|"), F.lit(" "))]
         for start, name in STARTS.items():
             found = F.coalesce(found, F.when(s.startswith(start), F.lit(name)))
         return found
 
-    sentences = F.split(F.regexp_replace(text, ENDS, "$1\n"), "\n")
-    cued = F.filter(sentences, lambda s: F.lower(s).rlike(CUES))
-    return F.array_compact(F.transform(F.transform(cued, normalise), identify))
+    s = F.translate(F.lower(text), "\x01\x02", "  ")
+    s = F.regexp_replace(s, r"(?m)^[^a-z0-9\n]*(?:dnl|rem)\b", "")
+    s = F.regexp_replace(s, r"\n[^a-z0-9\n]*\n[^a-z0-9]*", "\x02")
+    s = F.regexp_replace(s, ENDS, "\x01")
+    s = F.regexp_replace(s, r"[^a-z0-9\x01\x02]+", " ")
+    s = F.regexp_replace(s, r"[ \x01\x02]*\x02[ \x01\x02]*", "||")
+    s = F.regexp_replace(s, r"[ \x01]*\x01[ \x01]*", "|")
+    s = F.concat(F.lit("|"), F.btrim(s), F.lit("|"))
+    return F.array_compact(F.transform(F.regexp_extract_all(s, F.lit(FOUND), F.lit(0)), identify))
 
 
 def match_rules(ids: Column) -> Column:

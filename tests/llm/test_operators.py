@@ -192,6 +192,29 @@ def test_licenses(spark, odd):
     assert licenses.scan(odd).count() == odd.count() and licenses.scan(empty(spark)).count() == 0
 
 
+def test_wrapped_licenses(spark):
+    import textwrap
+
+    text = {v: k.capitalize() + "." for k, v in licenses.SENTENCES.items()}
+    wrap = lambda names, mark="": "\n".join(textwrap.wrap(" ".join(text[n] for n in names), 72, initial_indent=mark, subsequent_indent=mark))
+    mit, bsd = ["MIT_GRANT", "MIT_NOTICE", "MIT_AS_IS", "MIT_LIABILITY"], ["BSD_GRANT", "BSD_SOURCE", "BSD_BINARY", "BSD_ENDORSE", "BSD_AS_IS"]
+    apache = """/*
+ * Licensed under the Apache License, Version 2.0 (the "License"); you may
+ * not use this file except in compliance with the License. You may obtain
+ * a copy of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ */"""
+    gpl = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version."""
+    texts = [wrap(mit), wrap(bsd, " * "), apache, gpl, "; " + wrap(mit).replace("\n", "\n; "), "Licensed under\n\nthe MIT License."]
+    out = licenses.scan(frame(spark, [(i, t, None, None, 0) for i, t in enumerate(texts)])).orderBy("doc_id").collect()
+    assert [r.licenses for r in out] == ["MIT", "BSD-3-Clause", "Apache-2.0", "GPL-3.0-or-later", "MIT", ""]
+    assert [r.n_license_sentences for r in out] == [4, 5, 3, 1, 4, 0]
+
+
 def test_every_sentence_has_a_cue_and_is_normal():
     for s in licenses.SENTENCES:
         assert re.search(licenses.CUES, s), s
