@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,7 +58,7 @@ def first_candidate(items: DataFrame, targets: DataFrame, candidates: Column, ta
     return tried.join(targets.select(target).distinct(), target).groupBy(*key).agg(F.min_by(target, "rank").alias(target))
 
 
-def closure(edges: DataFrame, a: str, b: str, start: DataFrame, most: int = 50) -> DataFrame:
+def closure(edges: DataFrame, a: str, b: str, start: DataFrame) -> DataFrame:
     """(root, node, depth): all that is reachable from the start nodes, with the fewest steps.
 
     Breadth first, one join a step; what was seen is not visited again. The frontier and the
@@ -65,7 +67,7 @@ def closure(edges: DataFrame, a: str, b: str, start: DataFrame, most: int = 50)
     step = edges.select(F.col(a).alias("node"), F.col(b).alias("next")).distinct()
     seen = start.select(F.col(start.columns[0]).alias("root"), F.col(start.columns[0]).alias("node")).distinct().withColumn("depth", F.lit(0).cast("long"))
     front = seen
-    for depth in range(1, most + 1):
+    for depth in count(1):
         found = front.join(step, "node").select("root", F.col("next").alias("node")).distinct()
         front = found.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth).cast("long"))
         front = settle(front)

@@ -49,3 +49,11 @@ def test_text_functions(spark):
     assert [x.i for x in get(X.pack_fold(items, lambda x: x["n"], 10)).kept] == [0, 2, 3][:3]
     for t in ("2026-01-01T00:00:00Z", "2026-01-01", "2026-01-01T08:00:00+08:00"):
         assert str(get(X.parse_time(F.lit(t)))) == "2026-01-01 00:00:00"
+
+
+def test_closure_follows_long_chains(spark):
+    from brindle.operators import joining
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(52)] + [(52, 50)], "a long, b long").coalesce(1)
+    got = joining.closure(edges, "a", "b", spark.createDataFrame([(0,)], "a long").coalesce(1))
+    assert {r.node: r.depth for r in got.collect()} == {i: i for i in range(53)}
