@@ -21,10 +21,11 @@ from .common import bounded_batches, column, slices, worker_cache
 
 END = "</w>"
 #: Characters for which the tokenizer's normaliser and splitter act as PIECE and lower() do:
-#: ASCII without controls, and the letters of Latin-1. Other texts are left to the library.
+#: ASCII without controls, and the letters of Latin-1. Texts with any other are normalised and
+#: split into words by the library; the trie encodes the words of all texts.
 OTHER = re.compile("[^\t\n\r\x0b\x0c\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]|<\\|(?:start|end)oftext\\|>")
 PIECE = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\\sa-z\xdf-\xf6\xf8-\xff0-9]+")
-SPECIAL = "<|"
+SPECIAL = re.compile(r"(<\|(?:start|end)oftext\|>)")
 
 
 def byte_letters() -> list[str]:
@@ -41,7 +42,12 @@ class TrieEncoder:
         self.vocab = vocab
         self.ranks = {(a, b): r for r, (a, b) in enumerate(m.split(" ") if isinstance(m, str) else m for m in merges)}
         self.tokens = {i: t for t, i in vocab.items()}
-        self.longest = max(len(t.removesuffix(END)) for t in vocab)
+        #: the length of the longest token that ends in each letter, by its mark
+        self.reach: dict[str, dict[str, int]] = {"": {}, END: {}}
+        for t in vocab:
+            body = t.removesuffix(END)
+            reach = self.reach["" if body == t else END]
+            reach[body[-1:]] = max(reach.get(body[-1:], 0), len(body))
         self.letters = byte_letters()
         self.apart: dict[tuple[str, str], bool] = {}
 
@@ -74,15 +80,15 @@ class TrieEncoder:
         out: dict[str, list[int]] = {}
         if len(self.apart) > 400_000:
             self.apart.clear()
-        vocab, apart, fits, longest = self.vocab, self.apart, self.fits, self.longest
+        vocab, apart, fits, reach = self.vocab, self.apart, self.fits, self.reach
         letters = self.letters
-        spelled = sorted((w if w.isascii() else "".join([letters[b] for b in w.encode()]), w) for w in words)
+        spelled = sorted((w if w.isascii() and w.isprintable() else "".join([letters[b] for b in w.encode()]), w) for w in words)
         last: list[str] = [""]  # last token of each prefix of the current path
         path = ""
 
         def step(s: str, i: int, mark: str) -> str:
             # the last token of s[:i], with mark at its end; the longest candidate first
-            for j in range(max(0, i - longest), i):
+            for j in range(max(0, i - reach[mark].get(s[i - 1], 1)), i):
                 token = s[j:i] + mark
                 if token in vocab and (j == 0 or ((known := apart.get((last[j], token))) if (last[j], token) in apart else fits(last[j], token))):
                     if j == 0 and self.whole(token) is False:
@@ -120,44 +126,60 @@ class WordBpe:
     """A tokenizer file with word-end marks, and a bounded memory of words seen.
 
     keep turns (ids of words end to end, where each word ends) into one list of values a word
-    for each dict of known. The memory has two generations of at most `most` words: full, the
-    younger one becomes the older, from which words in use come back. That bounds it and
-    changes no result.
+    for each dict of known. The memory has two generations of at most `most` words of
+    `most_letters` letters in all: full, the younger one becomes the older, from which words in
+    use come back. That bounds it and changes no result.
     """
 
-    def __init__(self, content: str, keep, most: int = 200_000):
+    def __init__(self, content: str, keep, most: int = 200_000, most_letters: int = 4_000_000):
         data = json.loads(content)
         self.content, self._library = content, None
-        self.tokens = {i: t for t, i in data["model"]["vocab"].items()} | {t["id"]: t["content"] for t in data["added_tokens"]}
+        self.added = {t["content"]: t["id"] for t in data["added_tokens"]}
+        self.tokens = {i: t for t, i in data["model"]["vocab"].items()} | {i: t for t, i in self.added.items()}
         self.trie = TrieEncoder(data["model"]["vocab"], data["model"]["merges"])
-        self.keep, self.most = keep, most
+        self.keep, self.most, self.most_letters, self.letters = keep, most, most_letters, 0
         self.known: list[dict] = [{} for _ in keep([0], [1], self.tokens)]
         self.older: list[dict] = [{} for _ in self.known]
 
     @property
     def library(self):
-        """The tokenizer as its file has it, for the texts that are left to it."""
+        """The tokenizer as its file has it; its normaliser and splitter serve texts with OTHER."""
         if self._library is None:
             from tokenizers import Tokenizer
 
             self._library = Tokenizer.from_str(self.content)
-            self._library.no_truncation()
-            self._library.no_padding()
         return self._library
 
+    def words(self, text: str) -> list[str]:
+        """The words of a text, each to be encoded for itself; an added token is one."""
+        if not OTHER.search(text):
+            return PIECE.findall(text.lower())
+        out: list[str] = []
+        for part in SPECIAL.split(text):
+            if part in self.added:
+                out.append(part)
+            elif part:
+                plain = self.library.normalizer.normalize_str(part)
+                out += [plain[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(plain)]
+        return out
+
     def _encode(self, words: list[str]) -> tuple[list[int], list[int]]:
         """(ids of the words end to end, where each ends)."""
         ids: list[int] = []
-        got, cuts = self.trie.encode(words), []
+        added = self.added
+        got, cuts = self.trie.encode(w for w in words if w not in added), []
         for w in words:
-            ids += got[w]
+            ids += got[w] if w in got else [added[w]]
             cuts.append(len(ids))
         return ids, cuts
 
     def _learn(self, new: set[str]) -> None:
-        if len(self.known[0]) + len(new) > self.most:
+        letters = sum(map(len, new))
+        if len(self.known[0]) + len(new) > self.most or self.letters + letters > self.most_letters:
+            self.letters = 0
             for i, known in enumerate(self.known):
                 self.older[i], self.known[i] = known, {}
+        self.letters += letters
         if self.older[0]:
             old = [w for w in new if w in self.older[0]]
             for known, older in zip(self.known, self.older):
@@ -168,33 +190,25 @@ class WordBpe:
             known.update(zip(words, values))
 
     def values(self, texts: list[str], size: int = 500_000):
-        """For each text in turn: a list of its words' values for each dict of known, or None
-        where the library must encode it."""
+        """For each text in turn: a list of its words' values for each dict of known."""
         i = 0
         while i < len(texts):
             j, total, rows, missed = i, 0, [], set()
             known = self.known
             while j < len(texts) and (j == i or total + len(texts[j]) <= size):
-                if OTHER.search(texts[j]):
-                    rows.append(None)
+                words = self.words(texts[j])
+                found = [list(map(d.get, words)) for d in known]
+                if None in found[0]:
+                    holes = [k for k, v in enumerate(found[0]) if v is None]
+                    missed.update(map(words.__getitem__, holes))
+                    rows.append((found, holes, words))
                 else:
-                    words = PIECE.findall(texts[j].lower())
-                    found = [list(map(d.get, words)) for d in known]
-                    if None in found[0]:
-                        holes = [k for k, v in enumerate(found[0]) if v is None]
-                        missed.update(map(words.__getitem__, holes))
-                        rows.append((found, holes, words))
-                    else:
-                        rows.append((found, (), ()))
+                    rows.append((found, (), ()))
                 total += len(texts[j])
                 j += 1
             if missed:
                 self._learn(missed)
-            for row in rows:
-                if row is None:
-                    yield None
-                    continue
-                found, holes, words = row
+            for found, holes, words in rows:
                 for d, values in zip(self.known, found):
                     for k in holes:
                         values[k] = d[words[k]]
@@ -213,7 +227,11 @@ def tokenizer_content(path: str | None = None) -> str:
 
 
 def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids array<int>, decoded string) of every whole text; a null text is empty."""
+    """(doc_id, ids array<int>, decoded string) of every whole text; a null or empty one has no ids.
+
+    Rows are independent: repeated rows and ties give equal rows, and null ids pass through.
+    Extra columns are not read. A text of any length is encoded whole.
+    """
     return _encode(docs, path, id_col, text_col, digest=False)
 
 
@@ -243,12 +261,8 @@ def _encode(docs: DataFrame, path: str | None, id_col: str, text_col: str, diges
         for batch in slices(batches, 1, 2_000_000):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             rows = []
-            for text, found in zip(texts, bpe.values(texts)):
-                if found is None:
-                    got = bpe.library.encode(text, add_special_tokens=False).ids
-                    ids, decoded = " ".join(map(str, got)), bpe.library.decode(got, skip_special_tokens=False)
-                else:
-                    ids, decoded = map(" ".join, found)
+            for found in bpe.values(texts):
+                ids, decoded = map(" ".join, found)
                 n = ids.count(" ") + 1 if ids else 0
                 if digest:
                     rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
