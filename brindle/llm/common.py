@@ -13,6 +13,7 @@ SPACE = r"[\x20\x09-\x0D]"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
 
 _own_scratch: dict[str, str] = {}
+_written: dict[str, list[str]] = {}
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -44,9 +45,29 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written(spark: SparkSession) -> int:
+    """How many tables materialize has written and release has not deleted."""
+    return len(_written.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Deletes the tables that materialize wrote after the first `since`, but for the last `keep`.
+
+    For what no plan reads any more: a result that was written itself needs none of the tables
+    that it was made from. Tables are deleted by Hadoop's file system, wherever they lie.
+    """
+    tables = _written.get(spark.sparkContext.applicationId, [])
+    gone = tables[since : len(tables) - keep]
+    for path in gone:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    tables[since : len(tables) - keep] = []
+
+
 def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
     """Bounds the Arrow batches that go to Python, on both sides, where the session has the default.
 
@@ -129,10 +150,12 @@ def map_arrow(docs: DataFrame, run, extra: dict[str, str] | None = None) -> Data
     """docs.mapInArrow(run) with all columns kept and extra ones appended, whatever their names.
 
     run sees the columns as c0, c1, ... by position and must name what it yields so, extra
-    columns by their own names.
+    columns by their own names. A column of docs with the name of an extra one gives way to it.
     """
     extra = extra or {}
     bounded_batches(docs.sparkSession)
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema), *(f"{k} {v}" for k, v in extra.items())])
-    return plain.mapInArrow(run, schema).toDF(*docs.columns, *extra)
+    out = plain.mapInArrow(run, schema)
+    stay = [i for i, c in enumerate(docs.columns) if c not in extra]
+    return out.select(*(F.col(f"c{i}") for i in stay), *extra).toDF(*(docs.columns[i] for i in stay), *extra)

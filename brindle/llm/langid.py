@@ -12,10 +12,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column, map_arrow, slices
+from .common import column, map_arrow, materialize, slices
 
 UNKNOWN = "und"
 _LETTERS: list[np.ndarray] = []
@@ -24,21 +24,22 @@ _LETTERS: list[np.ndarray] = []
 @dataclass(frozen=True)
 class Settings:
     """docs_per_lang bounds the sample that the filters are fitted on (expected documents of
-    each language, whole texts); grams_per_lang bounds a filter's entries."""
+    each language, whole texts). A filter takes every n-gram of the sample that occurs
+    least_count times and meets least_share."""
 
     sizes: tuple[int, ...] = (3, 4)
     docs_per_lang: int = 1500
-    grams_per_lang: int = 8000
     least_count: int = 3
     least_share: float = 0.25  # of the largest relative frequency that any language has
-    slots: int = 1 << 18
+    least_slots: int = 1 << 18
+    slots_per_gram: int = 24  # of the largest filter, rounded up to a power of two
     probes: int = 3
 
 
 @dataclass
 class Filters:
     langs: list[str]
-    masks: np.ndarray  # slots x words of 64 languages
+    masks: np.ndarray  # slots (a power of two) x words of 64 languages
     settings: Settings
     prior: str = UNKNOWN
     prior_share: float = 0.0
@@ -89,10 +90,10 @@ def gram_hashes(texts: list[str], sizes: tuple[int, ...]) -> tuple[np.ndarray, n
     return np.concatenate(hashes), np.concatenate(owners), has[: len(texts)]
 
 
-def _probes(h: np.ndarray, settings: Settings):
+def _probes(h: np.ndarray, slots: int, settings: Settings):
     step = (h >> np.uint64(32)) | np.uint64(1)
     for k in range(settings.probes):
-        yield ((h + np.uint64(k) * step) % np.uint64(settings.slots)).astype(np.int64)
+        yield ((h + np.uint64(k) * step) & np.uint64(slots - 1)).astype(np.int64)
 
 
 def _pieces(texts: list[str], at_most: int = 2_000_000):
@@ -116,7 +117,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     labelled = docs.where(column(text_col).isNotNull() & column(lang_col).isNotNull())
     counts = {r[0]: r[1] for r in labelled.groupBy(column(lang_col)).count().collect()}
     if not counts:
-        return Filters([], np.zeros((settings.slots, 1), np.uint64), settings)
+        return Filters([], np.zeros((settings.least_slots, 1), np.uint64), settings)
     langs = sorted(counts)
     share = F.create_map(*(x for lang in langs for x in (F.lit(lang), F.lit(min(1.0, settings.docs_per_lang / counts[lang])))))
     unit = F.shiftrightunsigned(F.xxhash64(column(id_col)), 11) / F.lit(float(1 << 53))
@@ -133,20 +134,20 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
                     h, n = np.unique(gram_hashes(own[a:b], sizes)[0], return_counts=True)
                     yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(h), pa.string()), "gram": pa.array(h.view(np.int64)), "n": pa.array(n.astype(np.int64))})
 
-    grams = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= settings.least_count)
-    found: dict[str, dict[int, int]] = {lang: {} for lang in langs}
-    for lang, gram, n in grams.collect():
-        found[lang][gram] = n
-    totals = {lang: max(1, sum(g.values())) for lang, g in found.items()}
-    largest: dict[int, float] = {}
-    for lang, g in found.items():
-        for gram, n in g.items():
-            largest[gram] = max(largest.get(gram, 0.0), n / totals[lang])
-    masks = np.zeros((settings.slots, (len(langs) + 63) // 64), np.uint64)
+    grams = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    grams = materialize(grams.where(F.col("n") >= settings.least_count), "language-grams")
+    # only what a filter will hold comes to the driver; the rule is applied where the counts are
+    totals = {r[0]: r[1] for r in grams.groupBy("lang").agg(F.sum("n")).collect()}
+    if totals:
+        total = F.create_map(*(x for lang, n in sorted(totals.items()) for x in (F.lit(lang), F.lit(float(n)))))
+        grams = grams.withColumn("share", F.col("n") / total[F.col("lang")])
+        grams = grams.withColumn("largest", F.max("share").over(Window.partitionBy("gram"))).where(F.col("share") >= settings.least_share * F.col("largest"))
+    entries = grams.select("lang", "gram").toPandas()
+    own = {lang: part["gram"].to_numpy(np.int64).view(np.uint64) for lang, part in entries.groupby("lang")}
+    slots = max(settings.least_slots, 1 << (max((len(h) for h in own.values()), default=1) * settings.slots_per_gram - 1).bit_length())
+    masks = np.zeros((slots, (len(langs) + 63) // 64), np.uint64)
     for i, lang in enumerate(langs):
-        own = [(-n, gram) for gram, n in found[lang].items() if n / totals[lang] >= settings.least_share * largest[gram]]
-        h = np.array([gram for _, gram in sorted(own)[: settings.grams_per_lang]], np.int64).view(np.uint64)
-        for slot in _probes(h, settings):
+        for slot in _probes(own.get(lang, np.zeros(0, np.uint64)), slots, settings):
             masks[slot, i // 64] |= np.uint64(1) << np.uint64(i % 64)
     prior = min(langs, key=lambda lang: (-counts[lang], lang))
     return Filters(langs, masks, settings, prior, counts[prior] / sum(counts.values()))
@@ -164,7 +165,7 @@ def classify(texts: list[str], filters: Filters) -> tuple[list[str], list[float]
     for a, b in _pieces(texts):
         h, owner, has = gram_hashes(texts[a:b], filters.settings.sizes)
         mask = None
-        for slot in _probes(h, filters.settings):
+        for slot in _probes(h, len(filters.masks), filters.settings):
             mask = filters.masks[slot] if mask is None else mask & filters.masks[slot]
         n = np.bincount(owner, minlength=b - a).astype(float)
         hits = np.empty((b - a, len(filters.langs)))
@@ -183,8 +184,8 @@ def classify(texts: list[str], filters: Filters) -> tuple[list[str], list[float]
 def identify(docs: DataFrame, filters: Filters, text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score; texts are read whole, in Arrow batches.
 
-    Repeated rows get equal answers; other columns pass through. docs must not have columns
-    lang_pred or score already.
+    Repeated rows get equal answers; other columns pass through, but for ones of the names
+    lang_pred and score, which give way to the answers. A null text is empty.
     """
     position = docs.columns.index(text_col)
 
