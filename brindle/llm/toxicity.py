@@ -15,13 +15,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, map_arrow, slices
+from .common import column, map_arrow, materialize, slices
 
 WORD = re.compile(r"[^\W_]+")
-MOST_SUMMED = 64  # segments whose sum is put to the test, at most
 
 
 @dataclass(frozen=True)
@@ -30,9 +29,8 @@ class Settings:
 
     docs_per_class: int = 8000
     prior: float = 5.0  # pseudo-documents of the Dirichlet priors
-    drift: float = 1.5  # log-odds that a token must exceed to raise a segment
-    caution: float = 1.64  # standard errors of a token's log-odds that are held back
-    gap: float = -0.5  # score of all other tokens
+    drift: float = 1.5  # taken off every token's log-odds, so that clean text drifts down
+    caution: float = 1.64  # standard errors of a token's log-odds that are held back, on either side
     stems: tuple[int, ...] = (4, 5, 6)
     stem_docs: int = 10  # toxic documents that a stem must be in to speak for unseen words
     stem_impurity: float = 0.02  # and its clean documents, as a share of those, at most
@@ -55,8 +53,10 @@ class Model:
         return self.__dict__ | {"seen": {}}
 
     def score(self, word: str) -> float:
+        """A token's log-odds less the drift; without evidence of its own, its stem's, else none."""
         if (s := self.words.get(word)) is None:
             s = next((x for n in reversed(self.settings.stems) if len(word) > n and (x := self.stems.get(word[:n]))), 0.0)
+        s -= self.settings.drift
         if len(self.seen) > 150_000:
             self.seen.clear()
         self.seen[word] = s
@@ -92,25 +92,26 @@ def segments(scores: list[tuple[int, int, float]]) -> list[tuple[int, int, float
 
 
 def text_segments(text: str, model: Model) -> tuple[int, list[tuple[int, int, float]]]:
-    """(tokens, maximal segments as token ranges) of a whole text; every occurrence scores."""
+    """(tokens, maximal segments as token ranges) of a whole text; every occurrence of every token scores."""
     words = WORD.findall(text.lower())
     seen, score = model.seen, model.score
     values = [seen[w] if w in seen else score(w) for w in words]
-    if not any(values):
-        return len(words), []
-    items, last, gap = [], 0, model.settings.gap
-    for i in [i for i, v in enumerate(values) if v]:
-        if i > last:
-            items.append((last, i, gap * (i - last)))
-        items.append((i, i + 1, values[i]))
-        last = i + 1
+    items, last, gap = [], 0, 0.0
+    for i, v in enumerate(values):
+        if v > 0:
+            if i > last:
+                items.append((last, i, gap))
+            items.append((i, i + 1, v))
+            last, gap = i + 1, 0.0
+        else:
+            gap += v
     return len(words), segments(items)
 
 
 def significance(n: int, scores: list[float], model: Model) -> float:
     """-ln of the chance of the best sum of the r best segments, over r."""
     best, total = 0.0, 0.0
-    for r, s in enumerate(sorted(scores, reverse=True)[:MOST_SUMMED], 1):
+    for r, s in enumerate(sorted(scores, reverse=True), 1):
         total += model.rate * s - math.log(max(model.size * n, 1e-12))
         if r == 1:
             # P = 1 - exp(-e^-x), in full where the approximation below is not yet good
@@ -137,26 +138,18 @@ def passages(text: str, n: int, found: list[tuple[int, int, float]], model: Mode
     return [{"start": at[a][0], "end": at[b - 1][1], "score": s, "evalue": e} for a, b, s, e in found]
 
 
-def _weigh(counts: list[tuple[str, int, int]], toxic: int, clean: int, settings: Settings) -> tuple[dict, dict]:
-    """Scores of words and of stems with positive evidence."""
+def evidence(t: Column, c: Column, toxic: int, clean: int, settings: Settings) -> Column:
+    """A term's log-odds under Dirichlet priors, moved towards zero by `caution` standard errors."""
     pooled = settings.prior / (toxic + clean)
-    words, stems = {}, {}
-    for term, t, c in counts:
-        gain = math.log((t / toxic + pooled) / (c / clean + pooled)) - settings.drift - settings.caution / math.sqrt(max(1, t))
-        if gain <= 0:
-            continue
-        if term[0] == "w":
-            words[term[1:]] = gain
-        elif t >= settings.stem_docs and c <= settings.stem_impurity * t:
-            stems[term[1:]] = gain
-    return words, stems
-
-
-def _rate(words: dict[str, float], clean: dict[str, float], settings: Settings) -> float:
-    """The positive root of sum p e^(lambda s) = 1 over a clean text's tokens."""
-    s = np.array([*words.values(), settings.gap])
-    p = np.array([*(clean[w] for w in words), 0.0])
-    p[-1] = max(0.5, 1 - p[:-1].sum())
+    odds = F.log((t / F.lit(float(toxic)) + pooled) / (c / F.lit(float(clean)) + pooled))
+    held = settings.caution / F.sqrt(F.greatest(F.lit(1.0), F.when(odds > 0, t).otherwise(c).cast("double")))
+    return F.signum(odds) * F.greatest(F.lit(0.0), F.abs(odds) - held)
+
+
+def _rate(scores: np.ndarray, shares: np.ndarray, drift: float) -> float:
+    """The positive root of sum p e^(lambda s) = 1 over a clean text's tokens; the rest score -drift."""
+    s, p = np.append(scores - drift, -drift), np.append(shares, 0.0)
+    p[-1] = max(0.05, 1 - p[:-1].sum())
     p /= p.sum()
     low, high = 1e-4, 5.0
     value = lambda x: float((p * np.exp(np.minimum(x * s, 500.0))).sum()) - 1
@@ -194,14 +187,16 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_
     """A model from labelled docs; labels holds the ids to learn from (null ids and labels are left out).
 
     At most docs_per_class rows of each class, picked by a hash of the id, are read, whole;
-    that bounds the broadcast list of ids, the terms, and what reaches the driver. Equal texts
-    count once. Without documents of both classes the model scores every text as clean.
+    that bounds the broadcast list of ids, the terms with evidence, and what else reaches the
+    driver, a few numbers a document. Equal texts count once. Without documents of both classes
+    the model scores every text as clean.
     """
     ids = labels.select(column(id_col).alias("id"), column(label_col).cast("int").alias("y")).dropna().groupBy("id").agg(F.max("y").alias("y"))
     ids = ids.select("id", F.when(F.col("y") > 0, 1).otherwise(0).alias("y"))
     pick = [ids.where(F.col("y") == k).orderBy(F.xxhash64("id"), "id").limit(settings.docs_per_class) for k in (0, 1)]
     sample = docs.select(column(id_col).alias("id"), column(text_col).alias("text")).where(F.col("text").isNotNull())
     sample = sample.join(F.broadcast(pick[0].unionAll(pick[1])), "id").select("y", "text").dropDuplicates(["text", "y"])
+    sample = materialize(sample, "toxicity-sample")
     stems = settings.stems
 
     def count(batches):
@@ -222,36 +217,43 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_
         yield pa.RecordBatch.from_pydict({"term": pa.array(terms, pa.string()), "t": pa.array([counts[t, 1] for t in terms], pa.int64()), "c": pa.array([counts[t, 0] for t in terms], pa.int64()), "k": pa.array([occurrences[t] for t in terms], pa.int64())})
 
     totals = sample.mapInArrow(count, "term string, t long, c long, k long").groupBy("term").agg(*(F.sum(x).alias(x) for x in ("t", "c", "k")))
-    # a term that is no likelier in toxic texts cannot score, so it stays on the executors
-    rows = totals.where("t >= 2 or term = 'n'").collect()
-    n = next((r for r in rows if r[0] == "n"), None)
-    if n is None or not n[1] or not n[2]:
+    totals = materialize(totals, "toxicity-terms")
+    n = totals.where("term = 'n'").first()
+    if n is None or not n["t"] or not n["c"]:
         return Model({}, {}, settings)
-    counts = [tuple(r)[:3] for r in rows if r[0] != "n"]
-    model = Model(*_weigh(counts, n[1], n[2], settings), settings)
+    weight, stem = evidence(F.col("t"), F.col("c"), n["t"], n["c"], settings), F.col("term").startswith("s")
+    # a term without evidence of its own stays on the executors: its tokens score by stem or drift
+    told = (~stem & (F.col("w") != 0)) | (stem & (F.col("w") > settings.drift) & (F.col("t") >= settings.stem_docs) & (F.col("c") <= settings.stem_impurity * F.col("t")))
+    rows = totals.where("term != 'n'").select("term", "k", weight.alias("w"), "t", "c").where(told).select("term", "k", "w").collect()
+    model = Model({r[0][1:]: r[2] for r in rows if r[0][0] == "w"}, {r[0][1:]: r[2] for r in rows if r[0][0] == "s"}, settings)
 
     def scan(batches):
         for batch in batches:
             found = [text_segments(t, model) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"y": batch.column("y"), "n": pa.array([k for k, _ in found], pa.int64()), "s": pa.array([sorted((s for *_, s in x), reverse=True)[:MOST_SUMMED] for _, x in found], pa.list_(pa.float64()))})
+            best = [max((s for *_, s in x), default=0.0) for _, x in found]
+            x = [significance(k, [s for *_, s in x], model) for k, x in found]
+            yield pa.RecordBatch.from_pydict({"y": batch.column("y"), "n": pa.array([k for k, _ in found], pa.int64()), "s": pa.array(best, pa.float64()), "x": pa.array(x, pa.float64())})
+
+    def scanned() -> list:
+        return sorted(map(tuple, sample.mapInArrow(scan, "y int, n long, s double, x double").collect()))
 
-    scanned = sample.mapInArrow(scan, "y int, n long, s array<double>").collect()
-    clean = [(k, s) for y, k, s in scanned if y == 0]
+    clean = [(k, s) for y, k, s, _ in scanned() if y == 0]
     tokens = max(1.0, sum(k for k, _ in clean))
     # words weigh by the documents that have them, but the scan meets every occurrence
-    shares = {w: (k + 0.5) / tokens for t, *_, k in rows if t[0] == "w" and (w := t[1:]) in model.words}
-    model.rate = _rate(model.words, shares, settings)
-    mean = sum(k * math.exp(-model.rate * max(s, default=0.0)) for k, s in clean) / len(clean)
+    words = [(w, (k + 0.5) / tokens) for term, k, w in rows if term[0] == "w"]
+    model.rate = _rate(np.array([w for w, _ in words]), np.array([p for _, p in words]), settings.drift)
+    mean = sum(k * math.exp(-model.rate * s) for k, s in clean) / len(clean)
     model.size = 1 / max(mean, 1e-9)
-    x = np.array([significance(k, s, model) if s else 0.0 for _, k, s in scanned])
-    model.slope, model.offset = _logistic(np.log1p(x), np.array([float(y) for y, *_ in scanned]))
+    final = scanned()
+    model.slope, model.offset = _logistic(np.log1p([x for *_, x in final]), np.array([float(y) for y, *_ in final]))
     return model
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", with_passages: bool = False) -> DataFrame:
     """docs with score, n_segments and, if asked for, passages (start, end, score, evalue).
 
-    A null or empty text has no segment and so the lowest score. Texts are read whole.
+    A null or empty text has no segment and so the lowest score. Texts are read whole. Repeated
+    rows score alike. Columns of docs with the names of the new ones give way to them.
     """
     extra = {"score": "double", "n_segments": "int"} | ({"passages": "array<struct<start:int,end:int,score:double,evalue:double>>"} if with_passages else {})
     position = docs.columns.index(text_col)
