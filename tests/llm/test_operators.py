@@ -1,6 +1,7 @@
 """Operators against brute force, and their defined results on odd inputs."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -95,6 +96,42 @@ def test_language_odd(spark, odd):
     assert {r.lang_pred for r in langid.identify(odd, langid.fit(empty(spark))).collect()} == {"und"}
 
 
+def test_filters_hold_every_gram_of_the_rule(spark):
+    rng = random.Random(3)
+    letters = {"xx": "abcdefgh", "yy": "efghijkl", "zz": "ijklmnop"}
+    rows = [(i, " ".join("".join(rng.choice(letters[lang]) for _ in range(rng.randint(2, 9))) for _ in range(30)), lang, "s", 0) for i, lang in enumerate(rng.choice(sorted(letters)) for _ in range(300))]
+    settings = langid.Settings(docs_per_lang=10**6, least_count=2)
+    filters = langid.fit(frame(spark, rows), settings=settings)
+    counts = {lang: Counter() for lang in letters}
+    for _, text, lang, *_ in rows:
+        counts[lang].update(langid.gram_hashes([text], settings.sizes)[0].tolist())
+    counts = {lang: {g: n for g, n in c.items() if n >= 2} for lang, c in counts.items()}
+    share = {lang: {g: n / sum(c.values()) for g, n in c.items()} for lang, c in counts.items()}
+    own = {lang: {g for g, x in c.items() if x >= settings.least_share * max(o.get(g, 0) for o in share.values()) - 1e-12} for lang, c in share.items()}
+    grams = np.array(sorted(set().union(*counts.values())), np.uint64)
+    mask = None
+    for slot in langid._probes(grams, len(filters.masks), settings):
+        mask = filters.masks[slot, 0] if mask is None else mask & filters.masks[slot, 0]
+    for i, lang in enumerate(filters.langs):
+        bit = ((mask >> np.uint64(i)) & np.uint64(1)).astype(bool)
+        member = np.array([g in own[lang] for g in grams.tolist()])
+        assert bit[member].all() and bit[~member].mean() < 0.05
+    # brute force: exact membership in place of the filters decides alike
+    texts = [t for _, t, *_ in rows[:60]]
+    got = langid.classify(texts, filters)[0]
+    for t, lang in zip(texts, got):
+        hits = {k: sum(g in own[k] for g in langid.gram_hashes([t], settings.sizes)[0].tolist()) for k in own}
+        assert lang == max(sorted(hits), key=hits.get)
+
+
+def test_answers_replace_clashing_columns(spark):
+    docs = frame(spark, [(1, "one two", "en", "s", 0)]).selectExpr("*", "'old' as score", "'old' as lang_pred", "'old' as n_segments")
+    out = langid.identify(docs, langid.fit(docs, settings=langid.Settings(least_count=1)))
+    assert sorted(out.columns) == sorted(docs.columns) and out.first()["score"] != "old" and out.first()["lang_pred"] == "en"
+    out = toxicity.score(docs, toxicity.fit(docs, docs.selectExpr("doc_id", "1 as toxic")))
+    assert sorted(out.columns) == sorted(docs.columns) and out.first()["n_segments"] == 0 and out.first()["lang_pred"] == "old"
+
+
 def test_grams_of_batches_equal_those_of_texts():
     texts = ["one two", "", "a\0b", "é", "three's"]
     h, owner, has = langid.gram_hashes(texts, (3, 4))
@@ -169,6 +206,26 @@ def test_toxicity_scores_every_occurrence(spark):
     assert " ".join(dense) in [late.text[p.start : p.end] for p in late.passages] and clean.n_segments == 0
 
 
+def test_score_matches_definition():
+    rng = random.Random(8)
+    model = toxicity.Model({"bad": 4.0, "vile": 6.0, "the": -1.0}, {"hate": 5.0}, toxicity.Settings(), rate=0.4, size=0.05, slope=2.0, offset=-3.0)
+    words = ["bad", "vile", "the", "a", "hateful", "hates", "plain"]
+    for _ in range(60):
+        text = " ".join(rng.choice(words if rng.random() < 0.6 else words[2:4]) for _ in range(rng.randint(1, 200)))
+        value = [{"bad": 4.0, "vile": 6.0, "the": -1.0, "a": 0.0, "plain": 0.0}.get(w, 5.0 if w.startswith("hate") and len(w) > 4 else 0.0) - 1.5 for w in text.split()]
+        own = sorted((x for *_, x in brute_segments(value)), reverse=True)
+        best, total = 0.0, 0.0
+        for r, x in enumerate(own, 1):
+            total += 0.4 * x - math.log(0.05 * len(value))
+            if r == 1:
+                best = max(0.0, -math.log(1 - math.exp(-math.exp(-total))))
+            elif total > r:
+                best = max(best, total - (r - 1) * math.log(total) + math.lgamma(r + 1) + math.lgamma(r))
+        expected = 1 / (1 + math.exp(-(2.0 * math.log(1 + best) - 3.0)))
+        score, n, found = toxicity.text_score(text, model)
+        assert n == len(value) and score == pytest.approx(expected) and sorted((x for *_, x in found), reverse=True) == pytest.approx(own)
+
+
 # licences -----------------------------------------------------------------------------------
 
 
@@ -476,7 +533,19 @@ def test_trie_and_table_equal_the_library(library):
     assert got == expected
     trie = bpe.WordBpe(content, lambda ids, cuts, tokens: ([tuple(ids[a:b]) for a, b in zip([0, *cuts], cuts)],), most=500)
     for e, found in zip(expected, trie.values(texts, 2000)):
-        assert found is None or [i for w in found[0] for i in w] == e
+        assert [i for w in found[0] for i in w] == e
+
+
+def test_trie_takes_every_script(library, monkeypatch):
+    rng = random.Random(31)
+    letters = "日本語中文한국어😀👍🏽–—“”’…ΣσςİıßẞÅéżółć жизнь مرحبا ไทย ½Ⅷ\x00\x7f\u0301\u2028 12'S"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(600)]
+    texts += [t + "<|endoftext|>" + t for t in texts[:50]] + ["<|startoftext|><|endoftext|>’", "’" + "語" * 3000]
+    expected = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    trie = bpe.WordBpe(bpe.tokenizer_content(), lambda ids, cuts, tokens: ([tuple(ids[a:b]) for a, b in zip([0, *cuts], cuts)],), most=300, most_letters=2000)
+    encoded = []
+    monkeypatch.setattr(trie.trie, "encode", lambda words, real=trie.trie.encode: encoded.append(1) or real(words))
+    assert [[i for w in found[0] for i in w] for found in trie.values(texts, 2000)] == expected and encoded
 
 
 def test_bpe_round_trip(spark, odd, library):
