@@ -1,9 +1,10 @@
 """Packing of documents into token sequences by lexical retrieval.
 
 Documents are dealt to shards of bounded size by their lexical content: the nearest of the
-centres of a sample's weighted terms, so that related documents share a shard. Each shard holds a BM25 inverted index over its
-documents' token ids, with its own collection statistics, as the shards of a search cluster
-do; every document is in one index. A seed document opens a sequence, its unused BM25
+centres of a sample's weighted terms, so that related documents share a shard. Each shard holds
+a BM25 inverted index over its documents' token ids, with its own collection statistics, as the
+shards of a search cluster do; every document is in one index. A seed is scored with all its
+terms. A seed document opens a sequence, its unused BM25
 neighbours fill it, best first, and the last one is cut where the sequence is full; what is
 left of it seeds the next. Only a shard's last sequence can have room left.
 """
@@ -29,7 +30,7 @@ class Settings:
     length: int = 4096
     end_id: int = 2
     shard_bytes: int = 4_000_000  # of text, on average
-    query_terms: int = 24  # of the seed, those that weigh most
+    task_bytes: int = 48_000_000  # of text that one task packs, shard by shard, on average
     neighbours: int = 48  # asked for at once; asked again while there is room
     k1: float = 1.2
     b: float = 0.75
@@ -177,24 +178,20 @@ class Index:
         k1, b = settings.k1, settings.b
         weight = self.idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[doc] / lengths.mean()))
         self.own = np.append(0, np.cumsum(sizes))
-        self.terms, self.weights = term, weight
+        self.terms = term
         order = np.argsort(term, kind="stable")
         self.doc, self.weight = doc[order], weight[order]
         self.start = np.append(0, np.cumsum(df))
-        self.n, self.settings, self.df = n, settings, df
+        self.n, self.settings = n, settings
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share a weighty term with the seed, best first."""
+        """Unused documents that share a term with the seed, best first, of ties the first."""
         own = slice(self.own[seed], self.own[seed + 1])
-        terms, weights = self.terms[own], self.weights[own]
-        ok = (self.df[terms] > 1) & (self.df[terms] <= self.n // 2 + 1)
-        terms, weights = terms[ok], weights[ok]
-        if len(terms) > self.settings.query_terms:
-            terms = terms[np.argpartition(-weights, self.settings.query_terms)[: self.settings.query_terms]]
-        if not len(terms):
-            return terms[:0].astype(np.int64)
-        spans = [slice(self.start[t], self.start[t + 1]) for t in terms.tolist()]
-        scores = np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
+        scores = np.zeros(self.n)
+        for t in self.terms[own].tolist():
+            at = slice(self.start[t], self.start[t + 1])
+            # a document stands once in a term's postings, so plain indexing adds each weight
+            scores[self.doc[at]] += self.weight[at]
         scores *= unused
         k = self.settings.neighbours
         best = np.argpartition(-scores, k)[:k] if k < self.n else np.arange(self.n)
@@ -274,4 +271,5 @@ def pack(docs: DataFrame, path: str | None = None, settings: Settings = Settings
         ids = pa.array([rows[i][0] for i in d.tolist()], table.schema.field("doc_id").type)
         return pa.table({"doc_id": ids, "start": start, "length": length, "ids_crc32": crc, "doc_tokens": np.array([len(x) for x in docs], np.int64)[d], "sequence_id": (which << 32) + sequence, "offset": offset})
 
-    return tokens.groupBy("shard").applyInArrow(shard, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(size or 0) // settings.task_bytes))
+    return tokens.repartition(tasks, "shard").groupBy("shard").applyInArrow(shard, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
