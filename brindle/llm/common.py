@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +14,12 @@ SPACE = r"[\x20\x09-\x0D]"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
 
 _own_scratch: dict[str, str] = {}
-_written: dict[str, list[str]] = {}
+_written: dict[tuple[str, int], list[str]] = {}
+
+
+def _tables(spark: SparkSession) -> list[str]:
+    """The tables that materialize has written in this application and thread, in order."""
+    return _written.setdefault((spark.sparkContext.applicationId, threading.get_ident()), [])
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -45,13 +51,13 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    _tables(spark).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def written(spark: SparkSession) -> int:
     """How many tables materialize has written and release has not deleted."""
-    return len(_written.get(spark.sparkContext.applicationId, []))
+    return len(_tables(spark))
 
 
 def release(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
@@ -60,7 +66,7 @@ def release(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
     For what no plan reads any more: a result that was written itself needs none of the tables
     that it was made from. Tables are deleted by Hadoop's file system, wherever they lie.
     """
-    tables = _written.get(spark.sparkContext.applicationId, [])
+    tables = _tables(spark)
     gone = tables[since : len(tables) - keep]
     for path in gone:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)

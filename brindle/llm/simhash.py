@@ -10,6 +10,8 @@ exceed the radius, or when the group is already in the searcher's component.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -50,35 +52,47 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """(doc_id, key, fp): fp as a signed 64-bit number, key a hash of the text; a null text is empty."""
+def mixed(hashes: np.ndarray) -> np.ndarray:
+    """Other hashes of the same items, by the finaliser of SplitMix64."""
+    h = hashes + np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, second: bool = False) -> DataFrame:
+    """(doc_id, key, fp): fp as a signed 64-bit number, key a hash of the text; a null text is empty.
+
+    With `second`, fp2 is another fingerprint of the same shingles, from mixed hashes.
+    """
     bounded_batches(docs.sparkSession)
     df = docs.select(column(id_col).alias("doc_id"), F.xxhash64(column(text_col)).alias("key"), column(text_col).alias("text"))
 
     def run(batches):
         for batch in slices(batches, 2):
-            fps = [fingerprint(shingle_hashes(t or "", shingle)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["doc_id", "key", "fp"])
+            fps = []
+            for t in batch.column("text").to_pylist():
+                h = shingle_hashes(t or "", shingle)
+                fps.append([fingerprint(h), *([fingerprint(mixed(h))] if second else [])])
+            found = np.array(fps, np.uint64).reshape(len(fps), 1 + second).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *(pa.array(c) for c in found.T)], names=["doc_id", "key", "fp", *(["fp2"] if second else [])])
 
     kind = df.schema["doc_id"].dataType.simpleString()
-    return df.mapInArrow(run, f"doc_id {kind}, key long, fp long")
+    return df.mapInArrow(run, f"doc_id {kind}, key long, fp long" + (", fp2 long" if second else ""))
 
 
-def choose_masks(n: int, radius: int, per_node: int = 8, most: int = 170) -> list[int]:
+def choose_masks(n: int, radius: int, per_node: int = 64) -> list[int]:
     """Masks of agreeing blocks so that any two fingerprints within radius agree under one.
 
-    Of b blocks, radius differences leave b - radius untouched. The cheapest choice that
-    leaves about per_node of n fingerprints under a node is taken, or the most selective one
-    of at most `most` masks. Every choice finds every pair.
+    Of b blocks, radius differences leave b - radius untouched. More blocks make more masks, so
+    more copies of a fingerprint, of more shared bits, so fewer fingerprints under a node. The
+    choice with the least work is taken, where a copy counts as much as comparisons with
+    per_node others; it moves on with n without end. Every choice finds every pair.
     """
     best = None
-    for blocks in range(radius + 1, min(2 * radius + 3, 65)):
+    for blocks in range(radius + 1, min(3 * radius + 4, 65)):
         agree = blocks - radius
-        count = len(list(combinations(range(blocks), agree)))
-        bits = 64 * agree // blocks
-        if count > most:
-            continue
-        cost = (n / 2.0**bits > per_node, count if n / 2.0**bits <= per_node else -bits)
+        cost = math.comb(blocks, agree) * (1 + n / 2.0 ** (64 * agree // blocks) / per_node)
         if best is None or cost < best[0]:
             best = cost, blocks, agree
     _, blocks, agree = best
@@ -97,7 +111,7 @@ def gray_rank(fp: Column) -> Column:
 class GrayIndex:
     """The tree over Gray-ordered fingerprints, and the components found in it."""
 
-    LEAF, FAN = 16, 8
+    LEAF, FAN, SMALL = 16, 8, 64
 
     def __init__(self, fps: np.ndarray, radius: int):
         self.fps, self.radius, self.n = fps, radius, len(fps)
@@ -191,19 +205,22 @@ def _link_groups(group: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.nd
         a_out.append(f[pairs[:, 0]])
         b_out.append(f[pairs[:, 1]])
 
-    small = np.repeat((sizes > 1) & (sizes <= GrayIndex.LEAF), sizes)
-    at = np.flatnonzero(small)
+    at = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= GrayIndex.SMALL), sizes))
     if len(at):
-        # groups of one leaf: compare neighbours at every offset
-        g, f = group[at], fps[at]
+        # small groups, all at once: compare neighbours in Gray order at every offset
+        f = fps[at]
+        left = np.concatenate([np.arange(k, 0, -1) for k in sizes[(sizes > 1) & (sizes <= GrayIndex.SMALL)].tolist()]) - 1
         leaf = GrayIndex.__new__(GrayIndex)
         leaf.parent, leaf.merges = np.arange(len(at)), []
-        for s in range(1, min(GrayIndex.LEAF, len(at))):
-            i = np.flatnonzero((g[s:] == g[:-s]) & (np.bitwise_count(f[s:] ^ f[:-s]) <= radius))
-            if len(i):
-                leaf.union(i, i + s)
+        i = np.arange(len(at))
+        for s in range(1, GrayIndex.SMALL):
+            i = i[left[i] >= s]
+            if not len(i):
+                break
+            near = i[np.bitwise_count(f[i + s] ^ f[i]) <= radius]
+            leaf.union(near, near + s)
         give(f, leaf.merges)
-    for k in np.flatnonzero(sizes > GrayIndex.LEAF):
+    for k in np.flatnonzero(sizes > GrayIndex.SMALL):
         f = fps[starts[k] : starts[k] + sizes[k]]
         index = GrayIndex(f, radius)
         index.link()
@@ -259,16 +276,21 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, id_col:
     return rows.join(materialize(ids, "fingerprint-ids"), "fp").select("doc_id", "key", "fp", "component_id")
 
 
-def shingle_sets(docs: DataFrame, keys: DataFrame, shingle: int, text_col: str) -> DataFrame:
-    """(key, set): the distinct shingles of each text whose key is in keys."""
-    texts = docs.select(F.xxhash64(column(text_col)).alias("key"), column(text_col).alias("text")).join(keys, "key", "left_semi")
+def shingle_sets(docs: DataFrame, firsts: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """(key, set): the distinct shingles of each text in firsts (id, key), which names one row of each.
+
+    Texts are met by id and key, so copies of one text are told apart before any shuffle of texts
+    and no key has more rows than a row has repeats.
+    """
+    texts = docs.select(column(id_col).alias("id"), F.xxhash64(column(text_col)).alias("key"), column(text_col).alias("text"))
+    first = firsts.select(F.col("id").alias("first_id"), F.col("key").alias("first_key"))
+    texts = texts.join(first, (F.col("key") == F.col("first_key")) & F.col("id").eqNullSafe(F.col("first_id")), "left_semi").select("key", "text")
 
     def sets(batches):
         for batch in slices(batches, 1):
             hashes = [np.unique(shingle_hashes(t or "", shingle)).view(np.int64) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(hashes, pa.list_(pa.int64()))], names=["key", "set"])
 
-    # copies of a text have one set; one row of them is kept before the shuffle
     return texts.mapInArrow(sets, "key long, set array<long>").groupBy("key").agg(F.any_value("set").alias("set"))
 
 
@@ -350,19 +372,25 @@ def similar_groups(docs: DataFrame, radius: int, feature: int, shingle: int, lea
     """(doc_id, key) of every row, key a hash of its text, and (key, group) of the texts that are like another.
 
     Two texts are linked if their sets of runs of `shingle` words have a Jaccard similarity of
-    least or more and steps of at most radius bits lead from one's fingerprint to the other's.
-    Fingerprints are of runs of `feature` words: fewer words change fewer of them an edit, so
-    near copies come closer. Null texts count as empty; all empty texts are linked.
+    least or more and steps of at most radius bits, of either of two fingerprints, lead from one
+    to the other. Fingerprints are of runs of `feature` words: fewer words change fewer of them an
+    edit, so near copies come closer, and what one fingerprint misses the other mostly has. Null texts count as empty; all empty texts are linked.
     """
-    rows = materialize(fingerprints(docs, id_col, text_col, feature), "fingerprints")
-    texts = materialize(rows.groupBy("key").agg(F.any_value("fp").alias("fp")), "distinct-texts")
-    heads = materialize(texts.groupBy("fp").agg(F.min("key").alias("head")), "distinct-fingerprints")
-    a, b = (heads.select(F.col("fp").alias(x), F.col("head").alias(f"key_{x}")) for x in "ab")
-    between = linked(heads.select("fp"), radius).join(a, "a").join(b, "b").select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
-    within = texts.join(heads, "fp").where("key != head").select(F.col("head").alias("a"), F.col("key").alias("b"))
-    near = materialize(between.unionAll(within), "near-links")
+    rows = materialize(fingerprints(docs, id_col, text_col, feature, second=True), "fingerprints")
+    texts = materialize(rows.groupBy("key").agg(F.any_value("fp").alias("fp"), F.any_value("fp2").alias("fp2")), "distinct-texts")
+    links = []
+    for fp in ("fp", "fp2"):
+        own = texts.select("key", F.col(fp).alias("fp"))
+        heads = materialize(own.groupBy("fp").agg(F.min("key").alias("head")), "distinct-fingerprints")
+        a, b = (heads.select(F.col("fp").alias(x), F.col("head").alias(f"key_{x}")) for x in "ab")
+        between = linked(heads.select("fp"), radius).join(a, "a").join(b, "b")
+        links.append(between.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")))
+        links.append(own.join(heads, "fp").where("key != head").select(F.col("head").alias("a"), F.col("key").alias("b")))
+    near = materialize(reduce(DataFrame.unionAll, links).distinct(), "near-links")
     ends = near.select(F.col("a").alias("key")).unionAll(near.select("b")).distinct()
-    sets = materialize(shingle_sets(docs, ends, shingle, text_col), "shingle-sets")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id"))
+    firsts = rows.join(ends, "key", "left_semi").groupBy("key").agg(first.alias("first")).select(F.col("first.doc_id").alias("id"), "key")
+    sets = materialize(shingle_sets(docs, materialize(firsts, "first-rows"), shingle, id_col, text_col), "shingle-sets")
     good = materialize(alike(near, sets, least), "alike-links")
     groups = materialize(components(good, "a", "b"), "alike-components")
     if good.count() < near.count():
