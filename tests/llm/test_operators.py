@@ -333,7 +333,9 @@ def roots(n, pairs):
     return [find(x) for x in range(n)]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW", few)
     rng = random.Random(13)
     pairs = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(i, i + 1) for i in range(80, 120)] + [(7, 7), (3, None)]
     got = {r.node: r.root for r in components.components(frame(spark, pairs, "a long, b long"), "a", "b").collect()}
@@ -384,11 +386,15 @@ def test_index_finds_all_components(spark, radius):
 
 def test_masks_cover_all_pairs():
     rng = random.Random(17)
-    for n, radius in ((10, 4), (10**6, 4), (10**10, 4), (10**5, 6), (10**7, 8)):
+    for n, radius in ((10, 4), (10**6, 4), (10**10, 4), (10**5, 6), (10**7, 8), (10**9, 8)):
         masks = simhash.choose_masks(n, radius)
         for _ in range(300):
             diff = sum(1 << b for b in rng.sample(range(64), radius))
             assert any(not diff & m for m in masks)
+    # more fingerprints, more shared bits: what stands under a node stays bounded
+    for n in (10**7, 10**8, 10**9):
+        bits = min(m.bit_count() for m in simhash.choose_masks(n, 8))
+        assert n / 2**bits < 2000
 
 
 def test_simhash_dedup(spark, odd):
@@ -405,14 +411,14 @@ def test_simhash_dedup(spark, odd):
 
 
 def brute_groups(texts, radius, feature, shingle, least):
-    """Smallest position in each text's group: alike texts whose fingerprints are joined by near steps."""
-    fps = np.array([brute_fingerprint(t, feature) for t in texts], np.uint64)
+    """Smallest position in each text's group: alike texts joined by near steps of either fingerprint."""
+    fps = [(simhash.fingerprint(h), simhash.fingerprint(simhash.mixed(h))) for h in (simhash.shingle_hashes(t or "", feature) for t in texts)]
     sets = []
     for t in texts:
         w = (t or "").lower().split()
         sets.append({tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set())
     n = len(texts)
-    near = roots(n, [(i, j) for i in range(n) for j in range(i) if (int(fps[i]) ^ int(fps[j])).bit_count() <= radius])
+    near = roots(n, [(i, j) for i in range(n) for j in range(i) if any((x ^ y).bit_count() <= radius for x, y in zip(fps[i], fps[j]))])
     return roots(n, [(i, j) for i in range(n) for j in range(i) if near[i] == near[j] and len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])])
 
 
@@ -587,6 +593,25 @@ def test_packing_covers_every_id(spark, odd, library, sf_dir):
     assert packing.pack(odd).count() >= odd.count() and packing.pack(empty(spark)).count() == 0
 
 
+def test_neighbours_match_bm25():
+    rng = np.random.default_rng(33)
+    docs = [rng.zipf(1.3, rng.integers(5, 80)).clip(0, 400).astype(np.uint16) for _ in range(200)]
+    settings = packing.Settings(neighbours=15)
+    index, unused = packing.Index(docs, settings), (rng.random(200) < 0.8).astype(float)
+    bags, mean = [Counter(d.tolist()) for d in docs], sum(map(len, docs)) / 200
+    df = Counter(t for bag in bags for t in bag)
+
+    def bm25(q, d):
+        return sum(math.log(1 + (200 - df[t] + 0.5) / (df[t] + 0.5)) * bags[d][t] * 2.2 / (bags[d][t] + 1.2 * (0.25 + 0.75 * len(docs[d]) / mean)) for t in bags[q] if t in bags[d])
+
+    for seed in range(0, 200, 9):
+        unused[seed] = 0
+        scores = {d: x for d in range(200) if unused[d] and (x := bm25(seed, d)) > 0}
+        best = sorted(scores, key=lambda d: (-scores[d], d))[:15]
+        got = index.neighbours(seed, unused).tolist()
+        assert [scores[d] for d in got] == pytest.approx([scores[d] for d in best]) and set(got) <= scores.keys()
+
+
 def test_packing_puts_related_documents_together():
     rng = np.random.default_rng(31)
     topic = [rng.integers(1000 * t, 1000 * t + 60, 100).astype(np.uint16) for t in (1, 2) for _ in range(30)]

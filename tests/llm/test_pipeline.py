@@ -21,7 +21,8 @@ def test_stages(spark, sf_dir):
         if name == "simhash_dedup":
             # brute force: the smallest id of each group of alike texts joined by near fingerprints
             rows = before.select("doc_id", "text").orderBy("doc_id").collect()
-            fps = np.array([simhash.fingerprint(simhash.shingle_hashes(r.text or "", corpus_pipeline.FEATURE)) for r in rows], np.uint64)
+            hashes = [simhash.shingle_hashes(r.text or "", corpus_pipeline.FEATURE) for r in rows]
+            fps = np.array([[simhash.fingerprint(h), simhash.fingerprint(simhash.mixed(h))] for h in hashes], np.uint64)
             sets = [set(simhash.shingle_hashes(r.text or "", corpus_pipeline.SHINGLE).tolist()) for r in rows]
 
             def alike(i, j):
@@ -42,7 +43,7 @@ def test_stages(spark, sf_dir):
                     yield group
 
             kept = set()
-            for close in groups(range(len(rows)), lambda i, _: np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= corpus_pipeline.RADIUS).tolist()):
+            for close in groups(range(len(rows)), lambda i, _: np.flatnonzero((np.bitwise_count(fps ^ fps[i]) <= corpus_pipeline.RADIUS).any(1)).tolist()):
                 for group in groups(close, lambda i, left: [j for j in left if alike(i, j)]):
                     kept.add(min(rows[i].doc_id for i in group))
             assert {r.doc_id for r in after.select("doc_id").collect()} == kept
