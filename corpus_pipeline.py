@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm import lines, packing, pii, simhash, toxicity
-from brindle.llm.common import materialize, read
+from brindle.llm.common import materialize, read, release, written
 from brindle.llm.queries import learnable_labels
 
 #: Near copies: their sets of five-word shingles are alike by so much; fingerprints of word pairs,
@@ -60,8 +60,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each one's result is written as Parquet and read again."""
-    docs = read(spark, sf_dir, "documents")
+    """All stages over documents; each one's result is written as Parquet and read again.
+
+    What a stage wrote on its way, and the result before it, are deleted once its own is written.
+    """
+    docs, mark = read(spark, sf_dir, "documents"), written(spark)
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        release(spark, mark, keep=1)
     return STAGES[-1][1](spark, docs, sf_dir)
