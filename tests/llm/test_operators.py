@@ -512,6 +512,26 @@ def test_embeddings_find_all_links_of_a_dense_label(spark):
         assert [got[i].component_id for i in range(3000)] == expected
 
 
+def test_windows_find_the_links_of_spread_labels(spark, monkeypatch):
+    rng = np.random.default_rng(37)
+    for n in (1500, 6000):
+        x = rng.standard_normal((n, 64))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        step = rng.standard_normal((300, 64))
+        step -= (step * x[:300]).sum(1, keepdims=True) * x[:300]
+        step /= np.linalg.norm(step, axis=1, keepdims=True)
+        x[300:600] = 0.9805 * x[:300] + np.sqrt(1 - 0.9805**2) * step
+        x[700:720] = x[700] + rng.standard_normal((20, 64)) * 0.01
+        rows = [(i, [float(v) for v in r], 1) for i, r in enumerate(np.float32(x))]
+        by_blocks = []
+        monkeypatch.setattr(embeddings, "block_links", lambda m, s: by_blocks.append(1) or m.selectExpr("cid a", "cid b").limit(0))
+        got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(frame(spark, rows, "vec_id long, embedding array<float>, label int")).collect()}
+        u = embeddings.unit([r[1] for r in rows])
+        expected = ((u @ u.T) >= 0.98).sum(1) - 1
+        assert not by_blocks and all(got[i] <= expected[i] for i in range(n))
+        assert sum(got.values()) >= 0.99 * expected.sum() and [got[i] for i in range(700, 720)] == expected[700:720].tolist()
+
+
 # BPE and packing ----------------------------------------------------------------------------
 
 
