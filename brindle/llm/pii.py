@@ -4,10 +4,11 @@ Base spans come from fixed patterns and their checks. Beside them, looser candid
 base matches, passed or failed, are put to labelers (pattern, gazetteer or checksum, context,
 boundary, shape) that vote yes, no or nothing. Expectation-maximisation over the counts of vote
 patterns estimates each labeler's reliability by kind; a logistic span classifier is then
-trained on the estimated labels. It adds candidates that lie outside the base spans.
+trained on the estimated labels, with features of its own. It adds candidates that lie outside
+the base spans.
 
-Main path: DataFrame functions only. What reaches the driver are counts of vote patterns,
-whose number is bounded by the votes' combinations.
+Main path: DataFrame functions only. What reaches the driver are counts of patterns of votes and
+features, whose number is bounded by their combinations.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, let, running
+from .common import column, let, materialize, running
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -52,9 +53,11 @@ CONTEXT = {
     "phone": r"(?i)(?:tel|phone|call|fax|mobil|cell|telefon|appel)[^\n]{0,12}$",
 }
 AGAINST = r"(?i)(?:\bversion|\bv|\bsection|\bchapter|\bisbn|\border|\binvoice|\bserial|\bsku|#)[.: ]{0,2}$"
-TLDS = ("com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "uk", "it", "nl", "eu", "us", "ch", "at", "be", "ca", "au")
-#: Country calling codes of large networks, a gazetteer for the start of a number.
-CALLING = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98")
+#: Top-level domains: two letters are a country's, these are for all.
+TLDS = ("com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "name", "pro", "dev", "app", "online", "cloud", "email", "tech", "site", "store", "blog", "example", "test")
+#: Country calling codes by the numbering plan: zones of one digit, the codes of two digits, and
+#: first two digits that all codes of three digits share.
+CALLING = "[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|(?:2[1-69]|3[578]|42|5[09]|6[7-9]|8[0578]|9[679])[0-9]"
 LABELERS = ("pattern", "gazetteer", "context", "boundary", "shape")
 
 
@@ -163,7 +166,7 @@ def votes(kind: str, s: Column) -> list[Column]:
     n = F.length(digits(m))
     if kind == "email":
         pattern = _vote(plain.rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+$"), ~plain.rlike(r"^[\p{L}\p{N}._%+-]+@[\p{L}\p{N}.-]+$"))
-        gazetteer = _vote(F.lower(F.element_at(F.split(plain, r"\."), -1)).isin(*TLDS))
+        gazetteer = _vote(F.lower(F.element_at(F.split(plain, r"\."), -1)).rlike("^(?:[a-z]{2}|" + "|".join(TLDS) + ")$"))
         shape = _vote(~m.contains(" "), F.length(m) > 254)
     elif kind == "ip":
         pattern = _vote(passes("ip", plain), ~passes("ip", plain))
@@ -175,24 +178,49 @@ def votes(kind: str, s: Column) -> list[Column]:
         shape = _vote(m.rlike(r"^[0-9]{15,16}$|^(?:[0-9]{4}[\x20-]){3}[0-9]{4}$"), m.rlike(r"[0-9]{20}|(?:^|[\x20-])[0-9]{1,2}[\x20-]"))
     else:
         pattern = _vote(m.startswith("+") & n.between(9, 15), (n < 9) | (n > 15))
-        gazetteer = _vote(F.regexp_extract(m, r"^\+?([0-9]+)", 1).rlike("^(?:" + "|".join(CALLING) + ")"), m.startswith("+0"))
+        gazetteer = _vote(F.regexp_extract(m, r"^\+?([0-9]+)", 1).rlike(f"^(?:{CALLING})"), m.startswith("+0"))
         shape = _vote(m.rlike(r"[\x20().-]") & ~m.rlike(r"[\x20.-]{2}"), m.rlike(r"[0-9]{16}"))
     context = _vote(before.rlike(CONTEXT[kind]) & ~before.rlike(AGAINST), before.rlike(AGAINST))
     boundary = _vote(~before.rlike(r"[\p{L}\p{N}_]$") & ~after.rlike(r"^[\p{L}\p{N}_]"), before.rlike(r"[\p{L}\p{N}_]$") | after.rlike(r"^[\p{L}\p{N}_]"))
     return [pattern, gazetteer, context, boundary, shape]
 
 
+#: What the span classifier sees of a span beside the votes, as small numbers: how long it is, how
+#: many digits it has, how its parts are set off, how many distinct digits, and what stands around.
+FEATURES = {"length": 5, "digits": 5, "marks": 4, "distinct": 4, "left": 4, "right": 4}
+
+
+def features(s: Column) -> list[Column]:
+    """The features of a span, in the order of FEATURES; each is below its number."""
+    m, before = s["m"], s["before"]
+    n = F.length(digits(m))
+    steps = lambda x, *at: sum((F.when(x >= a, 1).otherwise(0) for a in at[1:]), F.when(x >= at[0], 1).otherwise(0))
+    around = lambda c: F.when(c == "", 0).when(c.rlike(r"[\s]"), 1).when(c.rlike(r"[\p{L}\p{N}_]"), 2).otherwise(3)
+    return [
+        steps(F.length(m), 9, 14, 20, 40),
+        steps(n, 1, 9, 12, 16),
+        steps(F.length(F.regexp_replace(m, r"[\p{L}\p{N}]+", "")), 1, 3, 5),
+        steps(F.size(F.array_distinct(F.split(digits(m), ""))), 2, 4, 7),
+        around(F.right(before, F.lit(1))),
+        around(s["after"]),
+    ]
+
+
 def _pattern_key(kind: str, s: Column) -> Column:
-    """One number for the kind and votes of a span."""
-    return reduce(lambda acc, v: acc * 3 + (v + 1), votes(kind, s), F.lit(KINDS.index(kind)))
+    """One number for the kind, features and votes of a span."""
+    sizes = [*FEATURES.values(), *(3 for _ in LABELERS)]
+    digits_ = [*features(s), *(v + 1 for v in votes(kind, s))]
+    return reduce(lambda acc, x: acc * x[0] + x[1], zip(sizes, digits_), F.lit(KINDS.index(kind)).cast("long"))
 
 
-def _decode(key: int) -> tuple[str, tuple[int, ...]]:
+def _decode(key: int) -> tuple[str, tuple[int, ...], tuple[int, ...]]:
+    """Kind, votes and features of a key."""
     out = []
-    for _ in LABELERS:
-        key, r = divmod(key, 3)
-        out.append(r - 1)
-    return KINDS[key], tuple(reversed(out))
+    for size in [*(3 for _ in LABELERS), *reversed(FEATURES.values())]:
+        key, r = divmod(key, size)
+        out.append(r)
+    k = len(LABELERS)
+    return KINDS[key], tuple(r - 1 for r in reversed(out[:k])), tuple(reversed(out[k:]))
 
 
 def _with_spans(docs: DataFrame, text_col: str) -> DataFrame:
@@ -212,22 +240,51 @@ def _with_spans(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def pattern_counts(docs: DataFrame, text_col: str = "text") -> dict[int, int]:
-    """How often each vote pattern occurs among base matches and candidates of all documents."""
-    df = _with_spans(docs.select(column(text_col).alias("text")), "text")
-    keys = F.flatten(F.array(*(F.transform(F.col(c)[k], by(k, _pattern_key)) for k in KINDS for c in ("__pii_all", "__pii_more"))))
-    rows = df.where("__pii_on").select(F.explode(keys).alias("k")).groupBy("k").count().collect()
+    """How often each pattern of votes and features occurs among base matches and candidates of all documents."""
+    return found_counts(candidates(docs.select(column(text_col).alias("text")), "text"))
+
+
+def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with one more column, all spans of each text: (kind, span, whether it matches the base
+    pattern, whether it passes the base check, its pattern of votes and features, what it is to be valid).
+
+    This is the one pass over the texts: training and finding both read the spans, so a caller
+    that does both writes them once.
+    """
+    names = docs.columns
+    df = _with_spans(docs.toDF(*(f"c{i}" for i in range(len(names)))), f"c{names.index(text_col)}")
+
+    def out(k: str, base: bool):
+        def one(s: Column) -> Column:
+            ok = passes(k, s["m"]) if base else F.lit(False)
+            return F.struct(F.lit(KINDS.index(k)).alias("rank"), s["start"].alias("start"), s["end"].alias("end"), F.lit(base).alias("base"), ok.alias("ok"), _pattern_key(k, s).alias("key"), (F.lit(False) if base else _valid(k, s)).alias("valid"))
+
+        return one
+
+    spans = F.flatten(F.array(*(F.transform(F.col(c)[k], out(k, c == "__pii_all")) for k in KINDS for c in ("__pii_all", "__pii_more"))))
+    none = F.array().cast(_CANDIDATES)
+    return df.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), F.when(F.col("__pii_on"), spans.cast(_CANDIDATES)).otherwise(none).alias(SPANS))
+
+
+def found_counts(found: DataFrame) -> dict[int, int]:
+    """How often each pattern occurs in candidates(); their number is bounded by the features' combinations."""
+    rows = found.select(F.explode(F.transform(SPANS, lambda s: s["key"])).alias("k")).groupBy("k").count().collect()
     return {r[0]: r[1] for r in rows}
 
 
-def estimate(counts: dict[int, int], settings: Settings = Settings()) -> dict[int, float]:
-    """Chance that a span of each vote pattern is true: Dawid-Skene by kind, with abstentions.
+def estimate(counts: dict[int, int], settings: Settings = Settings()) -> dict[tuple, float]:
+    """Chance that a span of each kind and votes is true: Dawid-Skene by kind, with abstentions.
 
     Pseudo-votes of the stated accuracy start and steady the estimate, so that few or one-sided
     data cannot turn a labeler round.
     """
-    answers: dict[int, float] = {}
+    answers: dict[tuple, float] = {}
     for kind in KINDS:
-        own = {key: (v, n) for key, n in counts.items() if (kv := _decode(key))[0] == kind and (v := kv[1])}
+        own = {}
+        for key, n in counts.items():
+            of, v, _ = _decode(key)
+            if of == kind:
+                own[v] = (v, n + own.get(v, (v, 0))[1])
         if not own:
             continue
         weight, accuracy = settings.weight, settings.accuracy
@@ -250,12 +307,14 @@ def estimate(counts: dict[int, int], settings: Settings = Settings()) -> dict[in
             for k, (v, _) in own.items():
                 z = math.log(share / (1 - share)) + sum(math.log(rate[j, 1, x] / rate[j, 0, x]) for j, x in enumerate(v))
                 truth[k] = 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
-        answers |= truth
+        answers |= {(kind, v): p for v, p in truth.items()}
     return answers
 
 
-def _features(v: tuple[int, ...]) -> list[float]:
-    return [1.0, *(float(x == 1) for x in v), *(float(x == -1) for x in v)]
+def _inputs(v: tuple[int, ...], f: tuple[int, ...]) -> list[float]:
+    """The classifier's inputs: votes for and against, and one for each value of each feature."""
+    own = [float(x == k) for x, size in zip(f, FEATURES.values()) for k in range(size)]
+    return [1.0, *(float(x == 1) for x in v), *(float(x == -1) for x in v), *own]
 
 
 def _solve(a: list[list[float]], b: list[float]) -> list[float]:
@@ -276,8 +335,8 @@ def train(counts: dict[int, int], settings: Settings = Settings()) -> dict[str,
     """Weights of the span classifier by kind: ridge logistic regression on the estimated labels, by Newton's method."""
     truth, weights = estimate(counts, settings), {}
     for kind in KINDS:
-        rows = [(_features(v), n, truth[key]) for key, n in counts.items() if (kv := _decode(key))[0] == kind and (v := kv[1])]
-        k = 1 + 2 * len(LABELERS)
+        rows = [(_inputs(v, f), n, truth[kind, v]) for key, n in sorted(counts.items()) for of, v, f in [_decode(key)] if of == kind]
+        k = 1 + 2 * len(LABELERS) + sum(FEATURES.values())
         w = [0.0] * k
         for _ in range(40 if rows else 0):
             g = [settings.ridge * x for x in w]
@@ -299,17 +358,28 @@ def train(counts: dict[int, int], settings: Settings = Settings()) -> dict[str,
     return weights
 
 
-def _chance(kind: str, s: Column, weights: dict[str, list[float]]) -> Column:
-    w, k = weights[kind], len(LABELERS)
+def _chance(key: Column, weights: dict[str, list[float]]) -> Column:
+    """The classifier's probability of a span with this pattern."""
+    k = len(LABELERS)
 
-    def score(vs: Column) -> Column:
-        z = F.lit(w[0])
+    def score(kind: str) -> Column:
+        w, z, rest = weights[kind], F.lit(weights[kind][0]), key
+        parts = []
+        for size in [*(3 for _ in LABELERS), *reversed(FEATURES.values())]:
+            parts.append(F.pmod(rest, F.lit(size)))
+            rest = F.floor(rest / size)
         for j in range(k):
-            x = F.get(vs, j)
-            z = z + F.when(x == 1, w[1 + j]).when(x == -1, w[1 + k + j]).otherwise(0.0)
+            x = parts[k - 1 - j]
+            z = z + F.when(x == 2, w[1 + j]).when(x == 0, w[1 + k + j]).otherwise(0.0)
+        at = 1 + 2 * k
+        for size, x in zip(FEATURES.values(), reversed(parts[k:])):
+            z = z + F.get(F.array(*(F.lit(y) for y in w[at : at + size])), x.cast("int"))
+            at += size
         return 1 / (1 + F.exp(-z))
 
-    return let(F.array(*votes(kind, s)), score)
+    span = math.prod(FEATURES.values()) * 3**k
+    own = F.floor(key / span)
+    return reduce(lambda x, i: x.when(own == i, score(KINDS[i])), range(1, len(KINDS)), F.when(own == 0, score(KINDS[0])))
 
 
 def _valid(kind: str, s: Column) -> Column:
@@ -322,25 +392,30 @@ def _valid(kind: str, s: Column) -> Column:
 
 
 _OUT = "array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
+_CANDIDATES = "array<struct<rank:int,start:bigint,end:bigint,base:boolean,ok:boolean,key:bigint,valid:boolean>>"
+#: The column that candidates() adds; one of that name in the input is not allowed.
+SPANS = "__brindle_pii_candidates"
+
+
+def decide(found: DataFrame, weights: dict[str, list[float]], settings: Settings = Settings()) -> DataFrame:
+    """candidates() with pii_base and pii_spans in place of the candidates."""
+    kinds = F.array(*(F.lit(k) for k in KINDS))
+    out = lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), F.get(kinds, s["rank"]).alias("kind"))
+    base = F.sort_array(F.transform(F.filter(SPANS, lambda s: s["ok"]), out)).cast(_OUT)
+    added = F.filter(SPANS, lambda s: s["ok"] | (~s["base"] & s["valid"] & (_chance(s["key"], weights) >= settings.least)))
+    spans = F.sort_array(F.transform(added, out)).cast(_OUT)
+    stay = [c for c in found.columns if c not in (SPANS, "pii_base", "pii_spans")]
+    return found.select(*(column(c) for c in stay), base.alias("pii_base"), spans.alias("pii_spans"))
 
 
 def find(docs: DataFrame, weights: dict[str, list[float]], text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
     """docs with pii_base and pii_spans: arrays of (start, rank, end, kind), sorted by start and kind.
 
     Places are code points, end exclusive; pii_spans holds pii_base and what the classifier
-    adds. A null text is empty. Rows are independent, so repeated rows get equal spans.
+    adds. A null text is empty, and a text of any length is read whole. Rows are independent, so
+    repeated rows get equal spans. Columns of docs named pii_base or pii_spans give way.
     """
-    df = _with_spans(docs, text_col)
-
-    def out(k: str, s: Column) -> Column:
-        return F.struct(s["start"].alias("start"), F.lit(KINDS.index(k)).alias("rank"), s["end"].alias("end"), F.lit(k).alias("kind"))
-
-    base = F.flatten(F.array(*(F.transform(F.col("__pii_ok")[k], by(k, out)) for k in KINDS))).cast(_OUT)
-    found = (F.filter(F.col("__pii_more")[k], by(k, lambda k, s: _valid(k, s) & (_chance(k, s, weights) >= settings.least))) for k in KINDS)
-    added = F.flatten(F.array(*(F.transform(a, by(k, out)) for k, a in zip(KINDS, found)))).cast(_OUT)
-    df = df.withColumn("pii_base", F.sort_array(base))
-    df = df.withColumn("pii_spans", F.when(F.col("__pii_on"), F.sort_array(F.concat("pii_base", added))).otherwise(F.array().cast(_OUT)))
-    return df.select(*(column(c) for c in docs.columns), "pii_base", "pii_spans")
+    return decide(candidates(docs, text_col), weights, settings)
 
 
 def show(spans: Column) -> Column:
@@ -348,10 +423,16 @@ def show(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, weights: dict[str, list[float]], text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
+def redact(docs: DataFrame, weights: dict[str, list[float]] | None = None, text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
     """docs with each span of the text replaced by its kind in angle brackets; overlaps go with
-    the first span, and what overlaps further goes with it. Null texts stay null."""
-    own = docs.withColumn("__pii_own", column(text_col))
-    df = find(own, weights, "__pii_own", settings)
-    text = rebuild(column(text_col), F.col("pii_spans"), lambda s: F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))
-    return df.select(*(text.alias(c) if c == text_col else column(c) for c in docs.columns))
+    the first span, and what overlaps further goes with it. Null texts stay null. Without weights
+    the classifier is trained on docs, whose spans are then written once for both."""
+    own = docs.select(*(column(c).alias(f"c{i}") for i, c in enumerate(docs.columns)))
+    at = docs.columns.index(text_col)
+    found = candidates(own, f"c{at}")
+    if weights is None:
+        found = materialize(found, "pii-candidates")
+        weights = train(found_counts(found), settings)
+    df = decide(found, weights, settings)
+    text = rebuild(F.col(f"c{at}"), F.col("pii_spans"), lambda s: F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))
+    return df.select(*(text.alias(c) if i == at else F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, embeddings, langid, licenses, lines, packing, pii, quality, simhash, toxicity
-from .common import fold, read
+from .common import fold, materialize, read
 
 LANG_FOLDS, TOXIC_FOLDS, TOXIC_HELD = 5, 3, 1
 
@@ -63,7 +63,8 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    out = pii.find(docs, pii.train(pii.pattern_counts(docs)))
+    found = materialize(pii.candidates(docs).drop("text"), "pii-candidates")
+    out = pii.decide(found, pii.train(pii.found_counts(found)))
     counts = [F.size(F.filter("pii_base", pii.by(k, lambda k, s: s["kind"] == k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
     return out.select("doc_id", *counts, F.sha2(pii.show(F.col("pii_base")), 256).alias("base_sha256"), pii.show(F.col("pii_spans")).alias("spans"))
 
