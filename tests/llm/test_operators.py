@@ -703,7 +703,11 @@ def test_pii_method_adds_swallowed_spans(spark):
     out = {r.doc_id: r for r in pii.find(docs, weights).select("doc_id", pii.show(F.col("pii_base")).alias("b"), pii.show(F.col("pii_spans")).alias("s")).collect()}
     assert out[100].b == "" and out[100].s == "phone:4:21,card:22:38"
     assert all(out[i].s == out[i].b for i in range(60))
-    red = {r.doc_id: r.text for r in pii.redact(docs, weights).collect()}
+    clash = docs.selectExpr("*", "'own' as pii_base", "'own' as c0", "'own' as __pii_t")
+    assert pii.redact(clash).columns == clash.columns and pii.redact(clash).first()["pii_base"] == "own"
+    assert pii.find(clash, weights).first()["pii_base"] != "own" and sorted(pii.find(clash, weights).columns) == sorted([*clash.columns, "pii_spans"])
+    red = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert red == {r.doc_id: r.text for r in pii.redact(docs, weights).collect()}
     assert red[100] == "see <PHONE> <CARD> here"
 
 
@@ -714,7 +718,7 @@ def test_em_learns_reliabilities():
         y = rng.random() < 0.5
         vote = lambda p: 2 if (rng.random() < p) == y else 0
         v = [vote(0.95), vote(0.9), vote(0.5), vote(0.9), vote(0.9)]
-        key = 0
+        key = 0  # an email without any feature
         for x in v:
             key = key * 3 + x
         counts[key] += 1
