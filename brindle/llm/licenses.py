@@ -181,8 +181,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """One row a document: id, n_license_sentences, licenses (in rule order) and unmatched.
 
     Null and empty texts have no sentence. Only texts with a cue are split; the rest are told
-    by one pass of a regex, so no row is left out. Rows are independent: repeated ids and null
-    ids pass through.
+    by one pass of a regex, so no row is left out. A text of any length is read whole. Rows are
+    independent: repeated rows, ties and null ids pass through.
     """
     df = docs.select(column(id_col).alias("doc_id"), column(text_col).alias("t"))
     none = F.array().cast("array<string>")
@@ -198,7 +198,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def scan_sql() -> str:
-    """The same scan for DuckDB."""
+    """The same scan for DuckDB, whose regular expressions know no look-around."""
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     values = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in SENTENCES.items())
     starts = " ".join(f"WHEN starts_with(n.s, {quoted(k)}) THEN {quoted(v)}" for k, v in STARTS.items())
@@ -207,15 +207,19 @@ def scan_sql() -> str:
         pattern = quoted("".join(f"<{x}>" for x in seq))
         steps.append(f"replace(s{i}, {pattern}, '|') AS s{i + 1}")
         names.append(f"CASE WHEN contains(s{i}, {pattern}) THEN {quoted(name)} END")
+    # every end is written '><', so that a sentence has its own two and matches take nothing else's
+    known = "|".join(x.replace(" ", "(?: |><)") for x in sorted(SENTENCES, key=len, reverse=True))
+    starts_too = "|".join(f"{x}[^<>]+" for x in STARTS)
     return f"""
 WITH known(s, id) AS (VALUES {values}),
-lines AS (
-  SELECT row_number() OVER () AS r, doc_id,
-         string_split(regexp_replace(text, '([.!?;:])[ \\t\\r\\f\\x0b]+', '\\1' || chr(10), 'g'), chr(10)) AS ss
-  FROM documents),
-parts AS (SELECT r, unnest(ss) AS s, generate_subscripts(ss, 1) AS k FROM lines),
-n AS (SELECT r, k, trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) AS s FROM parts),
-found AS (SELECT n.r, n.k, coalesce(known.id, CASE {starts} END) AS id FROM n LEFT JOIN known ON n.s = known.s),
+docs AS (SELECT row_number() OVER () AS r, doc_id, translate(lower(text), chr(1) || chr(2), '  ') AS t FROM documents),
+joined AS (SELECT r, doc_id, regexp_replace(regexp_replace(t, '(?m)^[^a-z0-9\\n]*(?:dnl|rem)\\b', '', 'g'), '\\n[^a-z0-9\\n]*\\n[^a-z0-9]*', chr(2), 'g') AS t FROM docs),
+ended AS (SELECT r, doc_id, regexp_replace(regexp_replace(t, '\\n|[.!?;:][ \\t\\r\\f\\x0b]+', chr(1), 'g'), '[^a-z0-9\\x01\\x02]+', ' ', 'g') AS t FROM joined),
+marked AS (SELECT r, doc_id, regexp_replace(regexp_replace(t, '[ \\x01\\x02]*\\x02[ \\x01\\x02]*', '><><', 'g'), '[ \\x01]*\\x01[ \\x01]*', '><', 'g') AS t FROM ended),
+lines AS (SELECT r, doc_id, regexp_extract_all('<' || trim(t) || '>', '<(?:{known}|{starts_too})>') AS ss FROM marked),
+n AS (SELECT r, unnest(ss) AS m, generate_subscripts(ss, 1) AS k FROM lines),
+parts AS (SELECT r, k, replace(m[2:-2], '><', ' ') AS s FROM n),
+found AS (SELECT n.r, n.k, coalesce(known.id, CASE {starts} END) AS id FROM parts n LEFT JOIN known ON n.s = known.s),
 ids AS (SELECT r, count(id) AS c, string_agg('<' || id || '>', '' ORDER BY k) AS ids FROM found WHERE id IS NOT NULL GROUP BY r),
 base AS (SELECT doc_id, coalesce(c, 0) AS c, coalesce(ids, '') AS ids FROM lines LEFT JOIN ids USING (r)),
 s AS (SELECT *, {", ".join(steps)} FROM base)
