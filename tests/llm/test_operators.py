@@ -272,6 +272,19 @@ def test_wrapped_licenses(spark):
     assert [r.n_license_sentences for r in out] == [4, 5, 3, 1, 4, 0]
 
 
+def test_license_sql_joins_wrapped_lines(spark):
+    import duckdb
+
+    words = next(iter(licenses.SENTENCES)).split()
+    wrapped = "/*\n" + "\n".join(" * " + " ".join(words[i : i + 9]) for i in range(0, len(words), 9)) + ".\n *\n * The above copyright notice and this permission notice shall be included in\n * all copies or substantial portions of the Software.\n */"
+    rows = [(1, wrapped), (2, "# Copyright 2020 A. B.\n# Licensed under the MIT\n# License.\n\nAll rights reserved"), (3, None), (4, "")]
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    got = {tuple(r) for r in licenses.scan(frame(spark, rows, "doc_id long, text string")).collect()}
+    assert got == set(con.sql(licenses.scan_sql()).fetchall()) and {r[0]: r[2] for r in got} == {1: "MIT", 2: "MIT,All-Rights-Reserved", 3: "", 4: ""}
+
+
 def test_every_sentence_has_a_cue_and_is_normal():
     for s in licenses.SENTENCES:
         assert re.search(licenses.CUES, s), s
