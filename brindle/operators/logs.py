@@ -8,6 +8,7 @@ are window computations over the same lines. Only nested reports go through Pyth
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -226,49 +227,53 @@ def _indent(line: str) -> int:
     return len(line) - len(line.lstrip())
 
 
+def _outline(rows, sibling_replaces: bool):
+    """(names of the open headings, mark, name) of each marked row of an indented report.
+
+    rows: (indent, mark, name); a row without a mark is a heading. Where siblings replace, a
+    heading closes those of its own depth and deeper. Else a heading opens a level if it is deeper
+    than the heading before, closes one if it is shallower, and names nothing if it is neither.
+    """
+    names: dict[int, str] = {}
+    level, before = 0, -1
+    for indent, mark, name in rows:
+        if mark:
+            yield [names[k] for k in sorted(names) if sibling_replaces or k <= level], mark, name
+        elif indent and sibling_replaces:
+            names = {k: v for k, v in names.items() if k < indent} | {indent: name}
+        elif indent:
+            level += (indent > before) - (indent < before)
+            if indent > before:
+                names[level] = name
+            before = indent
+
+
+JEST_ROW = re.compile(r"(?P<indent>[^\S\n]*)(?:(?P<mark>[✓✕])\s)?(?P<name>.*?)(?P<time>\s*\(\d+ms\))?\s*$")
+BROWSER_ROW = re.compile(r"(?P<indent>\s*)(?P<mark>[✔✖]?)\s(?P<name>.*)$")
+
+
+def _rows(pattern: re.Pattern, text: list[str]):
+    for line in text:
+        if m := pattern.match(line):
+            yield len(m["indent"] or ""), m["mark"], m["name"]
+
+
 def _nested_jest(log: str) -> dict[str, str]:
-    out: dict[str, str] = {}
-    suites: list[tuple[str, int]] = []
-    for section in log.split(" ./node_modules/.bin/jest ")[1:]:
-        for line in section.split("\n"):
-            if line.startswith(("Test Suites", "  ● ")):
-                break
-            text, indent = line.strip(), _indent(line)
-            if text[:1] in ("✓", "✕"):
-                m = re.match(r"[✓✕]\s(.*)\(\d+ms\)$", text) or re.match(r"[✓✕]\s(.*)", text)
-                if m and indent:
-                    out[" - ".join([" - ".join(n for n, _ in suites), m[1]]).strip()] = "PASSED" if text[0] == "✓" else "FAILED"
-            elif indent:
-                while suites and suites[-1][1] >= indent:
-                    suites.pop()
-                suites.append((text, indent))
+    """Headings by indentation over checked and crossed tests, in each run up to its summary."""
+    out = {}
+    for run in log.split(" ./node_modules/.bin/jest ")[1:]:
+        body = re.split(r"(?m)^(?:Test Suites|  ● )", run, maxsplit=1)[0]
+        rows = [r for r in _rows(JEST_ROW, body.split("\n")) if r[0]]
+        out.update({" - ".join([*path, name]): "PASSED" if mark == "✓" else "FAILED" for path, mark, name in _outline(rows, True)})
     return out
 
 
 def _browser_tree(log: str) -> dict[str, str]:
-    out: dict[str, str] = {}
-    deep, suites, started = -1, [], False
-    for line in log.split("\n"):
-        if line.startswith("SUMMARY:"):
-            break
-        if "Starting browser" in line:
-            started = True
-            continue
-        m = started and re.match(r"^(\s*)?([✔✖])?\s(.*)$", line)
-        if not m:
-            continue
-        indent, mark, name = m.groups()
-        if indent and not mark:
-            if len(indent) > deep:
-                deep = len(indent)
-                suites.append(name)
-            elif len(indent) < deep:
-                deep = len(indent)
-                suites.pop()
-                continue
-        if mark:
-            out[" > ".join([*suites, name])] = "PASSED" if mark == "✔" else "FAILED"
-    return out
+    """The outline between the start of the browser and the summary."""
+    body = re.split(r"(?m)^SUMMARY:", log, maxsplit=1)[0].split("\n")
+    first = next((i for i, line in enumerate(body) if "Starting browser" in line), len(body))
+    rows = _rows(BROWSER_ROW, [line for line in body[first + 1 :] if "Starting browser" not in line])
+    return {" > ".join([*path, name]): "PASSED" if mark == "✔" else "FAILED" for path, mark, name in _outline(rows, False)}
 
 
 ANSI = re.compile(r"\x1b\[[0-9;]*[A-Za-z]")
@@ -278,45 +283,68 @@ def _browser_failures(log: str) -> dict[str, str]:
     return {m: "FAILED" for m in re.findall(r"(?m)Chrome\s[\d.]+[^\S\r\n]\(.+?\)[^\S\r\n](.*)FAILED$", ANSI.sub("", log))}
 
 
+#: A dumped object or list: from a line that ends in its opening to the line that is its closing
+#: alone, or to the end; or a line that is one whole.
+DUMP = re.compile(r"^(?:[^\n]*\{[^\S\n]*$.*?(?:^\}[^\S\n]*$|\Z)|[^\n]*\[[^\S\n]*$.*?(?:^\][^\S\n]*$|\Z)|\{[^\n]*\}[^\S\n]*$|\[[^\n]*\][^\S\n]*$)\n?", re.M | re.S)
+TAG = re.compile(r"<(/?)(\w+)>")
+
+
+def _without_elements(text: str) -> str:
+    """The text without its balanced <x>...</x> elements."""
+    opened: dict[str, list[int]] = {}
+    spans: list[tuple[int, int]] = []
+    for m in TAG.finditer(text):
+        if not m[1]:
+            opened.setdefault(m[2], []).append(m.start())
+        elif opened.get(m[2]):
+            start = opened[m[2]].pop()
+            spans = [x for x in spans if x[0] < start] + [(start, m.end())]
+            # what opened inside the element goes with it
+            opened = {k: [x for x in v if x < start] for k, v in opened.items()}
+    kept, at = [], 0
+    for start, end in spans:
+        kept.append(text[at:start])
+        at = end
+    return "".join([*kept, text[at:]])
+
+
 def _numbered_failures(log: str) -> dict[str, str]:
-    kept, in_object, in_list = [], False, False
-    for line in ANSI.sub("", log).split("\n"):
-        end = line.rstrip()
-        if end.endswith("{"):
-            in_object = True
-        elif end.endswith("["):
-            in_list = True
-        elif end == "}" and in_object:
-            in_object = False
-        elif end == "]" and in_list:
-            in_list = False
-        elif not (in_object or in_list or (end[:1] == "{" and end[-1:] == "}") or (end[:1] == "[" and end[-1:] == "]")):
-            kept.append(line)
-    text, block = "\n".join(kept), re.compile(r"<(\w+)>[\s\S]*?</\1>")
-    while m := block.search(text):
-        again = max(m[0].count(f"<{m[1]}>") - 1, 0)
-        text = text[: m.start()] + f"<{m[1]}>" * again + text[m.end() :]
+    """Numbered blocks: titles each deeper than the one before, up to the first colon."""
+    body = _without_elements(DUMP.sub("", ANSI.sub("", log))).split("\n")
     out = {}
-    for m in re.finditer(r"(?ms)^\s*(\d+)\)(.{0,1000}?):", text):
-        names = m[2].split("\n")
-        depths = [0, *map(_indent, names)]
-        if all(a < b for a, b in zip(depths, depths[1:])):
-            out[":".join(n.strip() for n in names)] = "FAILED"
+    for i, line in enumerate(body):
+        head = re.match(r"\s*\d+\)(?=\s)", line)
+        titles, depth = [], 0
+        for title in [line[head.end() :], *body[i + 1 :]] if head else []:
+            if _indent(title) <= depth:
+                break
+            depth = _indent(title)
+            titles.append(title.split(":", 1)[0].strip())
+            if ":" in title:
+                out[":".join(titles)] = "FAILED"
+                break
     return out
 
 
 def _xml_report(log: str) -> dict[str, str]:
+    """A sub-case fails with any expression inside it that did not succeed."""
+    import io
     import xml.etree.ElementTree as ET
 
-    a = log.find("<doctest")
-    b = log.find("</doctest>", a)
-    if a < 0 or b < 0:
-        return {}
-    out = {}
-    for case in ET.fromstring(log[a : b + len("</doctest>")]).iter("TestCase"):
-        for sub in case.iter("SubCase"):
-            ok = all(e.get("success") == "true" for e in sub.iter("Expression"))
-            out[f"{case.get('name')} > {sub.get('name')}"] = "PASSED" if ok else "FAILED"
+    found = re.search(r"<doctest.*?</doctest>", log, re.S)
+    out: dict[str, str] = {}
+    cases, subs = [], []
+    for event, e in ET.iterparse(io.StringIO(found[0]), ("start", "end")) if found else ():
+        around = {"TestCase": cases, "SubCase": subs}.get(e.tag)
+        if around is not None and event == "end":
+            around.pop()
+        elif around is cases:
+            cases.append(e.get("name"))
+        elif around is subs:
+            subs.append(f"{cases[-1] if cases else None} > {e.get('name')}")
+            out[subs[-1]] = "PASSED"
+        elif e.tag == "Expression" and event == "start" and e.get("success") != "true":
+            out.update(dict.fromkeys(subs, "FAILED"))
     return out
 
 
@@ -378,3 +406,39 @@ def section(log: Column, start: str, end: str) -> Column:
     """What stands between the first start mark and the next end mark; null without both."""
     after = F.split(log, F.lit(re.escape(start)), 2)
     return F.when(log.contains(start) & F.get(after, F.lit(1)).contains(end), F.substring_index(F.get(after, F.lit(1)), end, 1))
+
+
+# Marks of a run that cannot be graded, and those around the tests' own output.
+BAD_CODES = (">>>>> Patch Apply Failed", ">>>>> Reset Failed", ">>>>> Tests Errored", ">>>>> Tests Timed Out")
+START, END = ">>>>> Start Test Output", ">>>>> End Test Output"
+
+
+def gradable(logs: DataFrame, log: str = "log") -> DataFrame:
+    """Adds applied (no bad code, and both marks stand in the log) and tests, the part to parse.
+
+    The part is what stands between the marks; a log without both has none. A null log is not applied.
+    """
+    text = F.coalesce(F.col(log), F.lit(""))
+    bad = reduce(lambda x, y: x | y, (text.contains(code) for code in BAD_CODES))
+    return logs.withColumns({"applied": ~bad & text.contains(START) & text.contains(END), "tests": F.when(~bad, section(text, START, END))})
+
+
+def parse_evaluations(logs: DataFrame, parser: str, key: str = "instance_id", log: str = "log") -> DataFrame:
+    """(key, test, status) of gradable logs: of the part between the marks, or of the whole log
+    where that part holds no status."""
+    fit = gradable(logs.select(key, log), log).where("applied")
+    inner = parse(fit.select(key, F.col("tests").alias(log)), parser, key, log)
+    rest = parse(fit.select(key, log).join(inner.select(key).distinct(), key, "left_anti"), parser, key, log)
+    return inner.unionByName(rest)
+
+
+def parse_mixed(logs: DataFrame, project: str = "project", key: str = "instance_id", log: str = "log", projects: list[str] | None = None) -> DataFrame:
+    """(key, test, status) of logs of many projects, each by its own format.
+
+    projects bounds the formats that are planned; by default the distinct ones are asked for. A
+    log is read once by its own format only, since each branch filters on the project.
+    """
+    if projects is None:
+        projects = sorted(r[0] for r in logs.select(project).distinct().collect() if r[0] is not None)
+    parts = [parse(logs.where(F.col(project) == p), p, key, log) for p in projects]
+    return reduce(DataFrame.unionByName, parts)

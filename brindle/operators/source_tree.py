@@ -7,20 +7,22 @@ flat rows; all that follows (scopes, resolution, consumers, ranking) is joins an
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from itertools import accumulate, takewhile
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Fixed values of the language: quotes, words that only look like methods, declaration forms.
+# Fixed values of the language: words that only look like methods, words that declare and what
+# may stand before them, and what may stand before a member.
 CONTROL = ("if", "for", "while", "switch", "catch", "else", "do", "try")
+DECLARING = {"struct": (), "class": ("abstract",), "interface": (), "enum": (), "function": ("async",)}
+EXPORTING = ("export", "default")
+ON_MEMBERS = ("public", "private", "protected", "static", "readonly", "async", "override")
 NAME = r"[A-Za-z_$][\w$]*"
-DECLARED = [(kind, re.compile(rf"\b(?P<mods>(?:(?:{mods})\s+)*){kind}\s+(?P<name>{NAME})")) for kind, mods in (("struct", "export|default"), ("class", "export|default|abstract"), ("interface", "export|default"), ("enum", "export|default"), ("function", "export|default|async"))]
-PROPERTY = re.compile(rf"(?P<mods>(?:(?:public|private|protected|static|readonly)\s+)*)(?P<name>{NAME})\s*(?::|=)")
-COMPONENT = re.compile(r"(?P<name>[A-Z][A-Za-z0-9_$]*)\s*\(")
-METHOD = re.compile(rf"(?P<mods>(?:(?:public|private|protected|static|async|override)\s+)*)(?P<name>{NAME})\s*\(")
-DECORATOR = re.compile(rf"@{NAME}(?:\.{NAME})?(?:\([^)]*\))?")
-CALL = re.compile(rf"(?<![\w$])(?P<callee>{NAME}(?:\s*(?:\?\.|\.)\s*{NAME})*)\s*\(")
+#: One token: a name, a number, or a sign.
+TOKEN = re.compile(rf"(?P<name>{NAME})|\d[\w$]*|\?\.|=>|\S")
 IMPORT = re.compile(r"^\s*import\s+(?P<body>.+?)(?:;)?\s*$", re.M)
 MASKED = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|(?P<q>['\"`])(?:\\.|(?!(?P=q)).)*?(?:(?P=q)|\Z)", re.S)
 
@@ -42,38 +44,68 @@ def imports(source: str) -> list[dict]:
 
 
 def calls(masked: str) -> list[dict]:
-    out = []
-    for m in CALL.finditer(masked):
-        at = m.start("callee")
-        out.append({"line": masked.count("\n", 0, at) + 1, "column": at - masked.rfind("\n", 0, at), "callee": re.sub(r"\s+", "", m["callee"]).replace("?.", ".")})
+    """Calls of names and dotted chains, by one walk over the tokens."""
+    out: list[dict] = []
+    chain: list[str] = []
+    begun, joined = 0, False
+    ends = [i for i, c in enumerate(masked) if c == "\n"]
+    for m in TOKEN.finditer(masked):
+        token = m[0]
+        if m["name"]:
+            if not joined:
+                chain, begun = [], m.start()
+            chain.append(token)
+        elif token == "(" and chain and not joined:
+            line = bisect_left(ends, begun)
+            out.append({"line": line + 1, "column": begun - (ends[line - 1] if line else -1), "callee": ".".join(chain)})
+        joined = token in (".", "?.") and bool(chain)
+        if not m["name"] and not joined:
+            chain = []
     return out
 
 
-def _decorators(line: str) -> tuple[list[str], str]:
-    rest, found = line.lstrip(), []
-    while m := DECORATOR.match(rest):
-        found.append(m[0])
-        rest = rest[m.end() :].lstrip()
-    return found, rest
-
-
-def _declaration(text: str) -> tuple[str, str, list[str]] | None:
-    """(type, name, modifiers) that a masked line declares; the first form that fits."""
-    if not text or text.startswith("import "):
+def _leading_decorators(tokens: list[re.Match]) -> list[tuple[int, int]]:
+    """(start, end) places of the decorators that a line begins with; arguments end with their bracket."""
+    found, i = [], 0
+    text = lambda k: tokens[k][0] if k < len(tokens) else ""
+    while text(i) == "@" and i + 1 < len(tokens) and tokens[i + 1]["name"]:
+        start, i = tokens[i].start(), i + 2
+        if text(i) == "." and i + 1 < len(tokens) and tokens[i + 1]["name"]:
+            i += 2
+        if text(i) == "(":
+            open_ = 0
+            for k in range(i, len(tokens)):
+                open_ += (text(k) == "(") - (text(k) == ")")
+                if not open_:
+                    i = k + 1
+                    break
+        found.append((start, tokens[i - 1].end()))
+    return found
+
+
+def _declared(tokens: list[re.Match]) -> tuple[str, str, list[str]] | None:
+    """(type, name, modifiers) that the tokens of a line declare."""
+    words = [t[0] for t in tokens]
+    is_name = [bool(t["name"]) for t in tokens] + [False, False]
+    if not words or words[0] == "import" and is_name[1] | (words[1:2] not in ([], ["("])):
         return None
-    for kind, pattern in DECLARED:
-        if m := pattern.search(text):
-            return kind, m["name"], m["mods"].split()
-    opens = "{" in text
-    if not opens and "(" not in text and (m := PROPERTY.match(text)):
-        return "property", m["name"], m["mods"].split()
-    if opens and (m := COMPONENT.match(text)):
-        return "ui_component", m["name"], []
-    if opens and (m := METHOD.match(text)) and m["name"] not in CONTROL:
-        return "method", m["name"], m["mods"].split()
-    if opens and "=>" in text:
-        return "callback", "anonymous", []
-    return None
+    for i, word in enumerate(words):
+        if word in DECLARING and is_name[i + 1]:
+            before = list(takewhile(lambda w: w in EXPORTING + DECLARING[word], reversed(words[:i])))
+            return word, words[i + 1], before[::-1]
+    # a member: modifiers, each before another name, then the name and the sign that tells its kind
+    at = 0
+    while words[at] in ON_MEMBERS and is_name[at + 1]:
+        at += 1
+    opens, sign = "{" in words, words[at + 1] if at + 1 < len(words) else ""
+    if is_name[at] and sign in (":", "=") and not opens and "(" not in words:
+        return "property", words[at], words[:at]
+    if is_name[at] and sign == "(" and opens:
+        if at == 0 and words[0][0].isupper():
+            return "ui_component", words[0], []
+        if words[at] not in CONTROL:
+            return "method", words[at], words[:at]
+    return ("callback", "anonymous", []) if opens and "=>" in words else None
 
 
 OWNERS = ("class", "struct", "interface")
@@ -85,42 +117,54 @@ def nodes(source: str, masked: str | None = None) -> list[dict]:
     One node a line at most; a node whose line opens a brace lasts to the line that closes it,
     or to the end of the file.
     """
-    masked = mask(source) if masked is None else masked
-    originals, lines = source.splitlines(), masked.splitlines()
+    originals, lines = source.splitlines(), (mask(source) if masked is None else masked).splitlines()
+    after = list(accumulate(line.count("{") - line.count("}") for line in lines))
+    closes = _closing_lines(after)
     out: list[dict] = []
-    stack: list[tuple[dict, int]] = []
-    pending: list[str] = []
-    depth = 0
-    for n, line in enumerate(lines, 1):
-        original = originals[n - 1] if n <= len(originals) else ""
-        found, rest = _decorators(original)
-        text = _decorators(line)[1].strip()
-        pending += found
-        if found and not rest.strip():
-            depth += line.count("{") - line.count("}")
+    waiting: list[str] = []
+    open_: list[dict] = []
+    for n, (original, line) in enumerate(zip(originals, lines), 1):
+        tokens = list(TOKEN.finditer(line))
+        marks = _leading_decorators(tokens)
+        waiting += [original[x:y] for x, y in marks]
+        rest = [t for t in tokens if not marks or t.start() >= marks[-1][1]]
+        found = _declared(rest)
+        if found is None:
             continue
-        if declared := _declaration(text):
-            kind, name, modifiers = declared
-            parent = stack[-1][0] if stack else None
-            shown = f"anonymous@{n}" if name == "anonymous" else name
-            owner = parent if parent and parent["type"] in OWNERS else None
-            node = {
-                "id": len(out), "parent": parent["id"] if parent else None, "depth": len(stack) + 1, "type": kind, "name": name,
-                "qualified": f"{parent['qualified']}.{shown}" if parent else shown, "owner": owner["name"] if owner else parent["owner"] if parent else None,
-                "start": n, "end": n, "decorators": [] if kind in ("ui_component", "callback") else pending, "modifiers": modifiers, "signature": original.strip(),
-            }
-            out.append(node)
-            if "{" in text:
-                stack.append((node, depth + 1))
-            pending = []
-        depth += line.count("{") - line.count("}")
-        while stack and depth < stack[-1][1]:
-            stack.pop()[0]["end"] = n
-    for node, _ in stack:
-        node["end"] = len(originals)
+        kind, name, modifiers = found
+        open_ = [x for x in open_ if x["end"] >= n]
+        parent = open_[-1] if open_ else None
+        shown = f"anonymous@{n}" if name == "anonymous" else name
+        opens = any(t[0] == "{" for t in rest)
+        node = {
+            "id": len(out), "parent": parent and parent["id"], "depth": len(open_) + 1, "type": kind, "name": name,
+            "qualified": ".".join([*([parent["qualified"]] if parent else []), shown]),
+            "owner": parent and (parent["name"] if parent["type"] in OWNERS else parent["owner"]),
+            "start": n, "end": closes(n, after[n - 2] if n > 1 else 0) if opens else n,
+            "decorators": [] if kind in ("ui_component", "callback") else waiting, "modifiers": modifiers, "signature": original.strip(),
+        }
+        out.append(node)
+        open_ += [node] if opens else []
+        waiting = []
     return out
 
 
+def _closing_lines(after: list[int]):
+    """f(n, depth): the first line from n on that ends at the depth or less; the last one without any."""
+    # of all lines from n on, those that end lower than every line between n and them, last first
+    lower: list[list[int]] = [[] for _ in after]
+    best: dict[int, int] = {}
+    for i in range(len(after) - 1, -1, -1):
+        best = {d: k for d, k in best.items() if d < after[i]} | {after[i]: i + 1}
+        lower[i] = best
+
+    def first(n: int, depth: int) -> int:
+        at = [k for d, k in lower[n - 1].items() if d <= depth]
+        return min(at, default=len(after))
+
+    return first
+
+
 NODE = "id int, parent int, depth int, type string, name string, qualified string, owner string, start int, end int, decorators array<string>, modifiers array<string>, signature string"
 SHAPES = {"nodes": NODE, "imports": "line int, source string, clause string", "calls": "line int, column int, callee string"}
 
