@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analytics, relational
+from . import analytics, building, relational
 from .registry import QUERIES, SQL
 
 
@@ -14,7 +14,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    assert analytics.__name__  # importing the module registers its queries
+    assert analytics.__name__ and building.__name__  # importing the module registers its queries
     return dict(QUERIES)
 
 
