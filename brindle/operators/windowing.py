@@ -2,18 +2,62 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joining import settle
+
+
+def numbered(df: DataFrame, by: list[str], order: list[str], rank: str = "__rank", total: str = "__total") -> DataFrame:
+    """Adds each row's place (from 0) in its key's order, and the key's number of rows.
+
+    Rows are dealt by ranges of key and order, so a key with any share of the rows spreads over
+    many tasks: places within a range are counted there, and what ranges hold before it is added
+    from a table of one row a range and key. Ties are told apart in no stated way.
+    """
+    dealt = settle(df.repartitionByRange(*by, *order).withColumn("__part", F.spark_partition_id()))
+    counts = dealt.groupBy("__part", *by).agg(F.count(F.lit(1)).alias("__n"))
+    key = Window.partitionBy(*by)
+    before = F.coalesce(F.sum("__n").over(key.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(F.col("__part").alias("__p"), *(F.col(c).alias(f"__k{i}") for i, c in enumerate(by)), before.alias("__before"), F.sum("__n").over(key).alias(total))
+    on = F.col("__part") == F.col("__p")
+    for i, c in enumerate(by):
+        on = on & F.col(c).eqNullSafe(F.col(f"__k{i}"))
+    local = F.row_number().over(Window.partitionBy("__part", *by).orderBy(*order)) - 1
+    out = dealt.withColumn("__local", local).join(counts, on)
+    return out.select(*df.columns, (F.col("__local") + F.col("__before")).alias(rank), total)
+
 
 def chunks(df: DataFrame, by: list[str], order: list[str], n: int, name: str = "chunk") -> DataFrame:
     """Contiguous near-equal chunks 1..n of each key's rows; the first chunks take the remainder."""
-    return df.withColumn(name, F.ntile(n).over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
+    rows, at = F.col("__total"), F.col("__rank")
+    size, more = F.floor(rows / n), rows % n
+    large = more * (size + 1)
+    chunk = F.when(at < large, F.floor(at / (size + 1))).otherwise(more + F.floor((at - large) / F.greatest(size, F.lit(1)))) + 1
+    return numbered(df, by, order).withColumn(name, chunk.cast("long")).drop("__rank", "__total")
 
 
 def strided(df: DataFrame, by: list[str], order: list[str], n: int, name: str = "shard") -> DataFrame:
     """Shard i takes rows i, i + n, i + 2n, ... of each key."""
-    return df.withColumn(name, F.pmod(F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1, F.lit(n)).cast("long"))
+    return numbered(df, by, order).withColumn(name, (F.col("__rank") % n).cast("long")).drop("__rank", "__total")
+
+
+def quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """By key, exact quantiles of value, interpolated; nulls are left out.
+
+    Only the two rows beside each quantile leave their places in the order.
+    """
+    ranked = numbered(df.select(*by, value).where(F.col(value).isNotNull()), by, [value])
+    place = lambda p: (F.col("__total") - 1) * F.lit(p)
+    sides = [(name, p, side) for name, p in shares.items() for side in (F.floor, F.ceil)]
+    near = reduce(lambda x, y: x | y, (F.col("__rank") == side(place(p)) for _, p, side in sides))
+    def at(p, side):
+        return F.max(F.when(F.col("__rank") == side(place(p)), F.col(value)))
+
+    part = lambda p: F.max(place(p) - F.floor(place(p)))
+    return ranked.where(near).groupBy(*by).agg(*((at(p, F.floor) + (at(p, F.ceil) - at(p, F.floor)) * part(p)).alias(name) for name, p in shares.items()))
 
 
 def until_spent(df: DataFrame, by: list[str], order: list[str], cost: Column, most: float, name: str = "spent") -> DataFrame:

@@ -10,6 +10,7 @@ from ..operators import logs as L
 from ..operators import patches as D
 from ..operators import retrieval as R
 from ..operators import upsert as U
+from ..operators import windowing as W
 from .registry import query
 
 c = F.col
@@ -145,8 +146,9 @@ def a25_build_keys(t):
 @query("""SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.75), 4) AS p75, round(quantile_cont(o_totalprice, 0.9), 4) AS p90, round(quantile_cont(o_totalprice, 0.95), 4) AS p95,
  count(*) FILTER (WHERE o_totalprice >= 100000) AS many FROM orders GROUP BY 1""")
 def a26_quantiles(t):
-    q = lambda p: F.round(F.percentile("o_totalprice", p), 4)
-    return t.orders.groupBy("o_orderpriority").agg(q(0.75).alias("p75"), q(0.9).alias("p90"), q(0.95).alias("p95"), F.count_if(c("o_totalprice") >= 100000).alias("many"))
+    q = W.quantiles(t.orders, ["o_orderpriority"], "o_totalprice", {"p75": 0.75, "p90": 0.9, "p95": 0.95})
+    many = t.orders.groupBy("o_orderpriority").agg(F.count_if(c("o_totalprice") >= 100000).alias("many"))
+    return q.select("o_orderpriority", *(F.round(p, 4).alias(p) for p in ("p75", "p90", "p95"))).join(many, "o_orderpriority")
 
 
 # scalar functions -----------------------------------------------------------------------------
