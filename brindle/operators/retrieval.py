@@ -7,6 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joining import settle
+
+
+#: Rows of (query, term, weight) that are sent to all tasks, some 60 bytes each.
+MOST_TERMS = 300_000
+
 
 @dataclass(frozen=True)
 class Bm25:
@@ -37,19 +43,26 @@ def postings(docs: DataFrame, key: str, text: Column, terms: DataFrame | None =
 def search(queries: DataFrame, docs: DataFrame, query_key: str, query_text: Column, key: str, text: Column, k: int = 20, settings: Bm25 = Bm25()) -> DataFrame:
     """(query_key, key, score, rank): the k best documents of each query, ties by key.
 
-    The postings are cut to the queries' terms before anything is scored; document counts and
-    lengths cover all documents. Scores are rounded to six places so that order is stable.
+    The postings are cut to the queries' terms, written once, and dealt by document, so that a
+    document's scores add up where it stands and only the best of each task move on. Up to
+    MOST_TERMS terms of queries, counted, go to all tasks; more are joined by shuffling. Document
+    counts and lengths cover all documents. Scores are rounded to six places so that order is
+    stable.
     """
     asked = queries.select(query_key, F.explode(F.array_distinct(tokens(query_text))).alias("term"))
-    total, mean = counted(docs, key, text).agg(F.count(F.lit(1)), F.avg("len")).first()
+    length = F.regexp_count(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"))
+    total, mean = docs.agg(F.count(F.lit(1)), F.avg(length)).first()
     if not total:
         return asked.select(query_key, F.lit(None).alias(key), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("rank")).limit(0)
     terms = asked.select("term").distinct()
-    post = postings(docs, key, text, terms)
+    post = settle(postings(docs, key, text, terms))
     df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.lit(float(total)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighed = settle(asked.join(df.select("term", idf.alias("idf")), "term"))
+    small = weighed.count() <= MOST_TERMS
     tf = F.col("tf") * (settings.k1 + 1) / (F.col("tf") + settings.k1 * (1 - settings.b + settings.b * F.col("len") / F.lit(float(mean or 1))))
-    scored = asked.join(df, "term").join(post, "term").groupBy(query_key, key).agg(F.round(F.sum(idf * tf), 6).alias("score"))
+    met = post.repartition(key).join(F.broadcast(weighed) if small else weighed, "term")
+    scored = met.groupBy(query_key, key).agg(F.round(F.sum(F.col("idf") * tf), 6).alias("score"))
     w = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
     return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
