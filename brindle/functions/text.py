@@ -34,6 +34,15 @@ def month_slices(start: Column, end: Column) -> Column:
     return F.transform(months, lambda m: F.struct(F.greatest(m, start).alias("lo"), F.least(F.last_day(m), end).alias("hi")))
 
 
+def date_slices(start: Column, end: Column, unit: str) -> Column:
+    """array<struct<lo,hi>>: days, calendar months or calendar years from start to end, cut to those two."""
+    if unit == "month":
+        return month_slices(start, end)
+    first, step = {"day": (start, "1 day"), "year": (F.trunc(start, "YEAR").cast("date"), "1 year")}[unit]
+    last = (lambda d: d) if unit == "day" else (lambda d: F.make_date(F.year(d), F.lit(12), F.lit(31)))
+    return F.transform(F.sequence(first, end, F.expr(f"interval {step}")), lambda d: F.struct(F.greatest(d, start).alias("lo"), F.least(last(d), end).alias("hi")))
+
+
 def instance_id(repo: Column, number: Column) -> Column:
     """owner__name-number."""
     return F.replace(F.concat_ws("-", repo, number.cast("string")), F.lit("/"), F.lit("__"))

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..operators import curating as C
 from ..operators import features as E
 from ..operators import logs as L
+from ..operators import oracles as O
+from ..operators import prompts as M
 from ..operators import records as R
 from ..operators import source_tree as S
 from ..operators import tracks as K
@@ -340,6 +343,84 @@ def g17_verified_lines(t):
     return E.verify_lines(keys.select("k", lit("R").alias("text")), keys.select("k", lit("NO").alias("text")), lines, "k")
 
 
+@query("""SELECT p_partkey, 'id:string:false,size' || p_size || ':number[]:true' AS fields, 'Color=RED+GREEN' AS enums, 'Side=''L''|''R''' AS aliases, p_size::VARCHAR AS entry FROM part""")
+def x26_declared_parts(t):
+    source = text("export interface Shape {\n  id: string;\n  // no: x\n  size", c("p_size"), "?: number[]\n  run() { a: 1 }\n}\nexport enum Color {\n  RED = 1, GREEN,\n}\nexport type Side = 'L'|'R';\nexport const MAP: Record<string, number> = {\n  'a': ", c("p_size"), ",\n}\n")
+    field = F.transform(O.interface_fields(c("source"), lit("Shape")), lambda f: F.concat_ws(":", f["name"], f["type"], f["optional"].cast("string")))
+    enum = F.transform(O.enums(c("source")), lambda e: F.concat(e["name"], lit("="), F.array_join(e["members"], "+")))
+    alias = F.transform(O.aliases(c("source")), lambda a: F.concat_ws("=", a["name"], a["type"]))
+    entry = F.get(O.const_objects(c("source")), lit(0))["entries"]["a"]
+    return t.part.select("p_partkey", source.alias("source")).select("p_partkey", F.array_join(field, ",").alias("fields"), F.array_join(enum, ",").alias("enums"), F.array_join(alias, ",").alias("aliases"), entry.alias("entry"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE l_linenumber WHEN 1 THEN '''LEFT''' WHEN 2 THEN '''sample''' WHEN 3 THEN '1' WHEN 4 THEN '[]' WHEN 5 THEN 'Color.RED' WHEN 6 THEN 'undefined' END AS value FROM lineitem""")
+def x27_sample_value(t):
+    n = c("l_linenumber")
+    kind = F.when(n == 1, "Side | 'LEFT'").when(n == 2, "string | number").when(n == 3, "number").when(n == 4, "Foo[]").when(n == 5, "Color").otherwise("Foo")
+    known = O.enums(lit("export enum Color { RED, GREEN }"))
+    return t.lineitem.select("l_orderkey", n, O.sample_value(kind, n == 6, known).alias("value"))
+
+
+# texts for models -----------------------------------------------------------------------------
+
+
+@query("""SELECT n_nationkey || '.py' AS path, n_nationkey || '.py' || chr(10) || CASE WHEN n_nationkey % 2 = 0 THEN 'About ' || n_name || chr(10) || chr(10) || 'f' || chr(10) || 'Does it.' ELSE 'def (' || n_name END AS encoded FROM nation""")
+def r1_documented(t):
+    source = choose(c("n_nationkey"), text('"""About ', c("n_name"), '"""\ndef f():\n    "Does it."\ndef g():\n    pass\n'), text("def (", c("n_name")))
+    return M.path_and_documentation(t.nation.select(text(c("n_nationkey"), ".py").alias("path"), source.alias("text")))
+
+
+def contexts(t):
+    """An instance a supplier with a patch of two files, and the files of each nation's repository."""
+    nation = c("s_nationkey")
+    patch = text("diff --git a/b.py b/b.py\n@@\ndiff --git a/", F.when(c("s_suppkey") % 3 == 0, "gone.py").otherwise("a.py"), " b/a.py\n")
+    instances = t.supplier.select(c("s_suppkey").alias("instance_id"), text("r", nation).alias("repo"), lit("c").alias("commit"), patch.alias("patch"))
+    files = t.nation.select(text("r", c("n_nationkey")).alias("repo"), lit("c").alias("commit"), F.explode(F.array(lit("a.py"), lit("b.py"))).alias("path"), c("n_name").alias("text"))
+    return instances, files
+
+
+BLOCK = "'[start of {0}.py]' || chr(10) || n_name || chr(10) || '[end of {0}.py]'"
+
+
+@query(f"""SELECT s_suppkey AS instance_id, 2::BIGINT AS n_files, CASE WHEN s_suppkey % 3 <> 0 THEN {BLOCK.format("b")} || chr(10) || {BLOCK.format("a")} END AS context FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
+def r7_oracle_context(t):
+    instances, files = contexts(t)
+    return M.text_inputs(instances, "oracle", files)
+
+
+@query(f"""SELECT s_suppkey AS instance_id, 2::BIGINT AS n_files, {BLOCK.format("a")} || chr(10) || {BLOCK.format("b")} AS context FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
+def r7_whole_context(t):
+    instances, files = contexts(t)
+    return M.text_inputs(instances, "all", files)
+
+
+@query("""SELECT s_suppkey AS instance_id, (s_suppkey % 2)::BIGINT AS n_files FROM supplier""")
+def r7_retrieved_context(t):
+    instances, files = contexts(t)
+    hits = instances.where("instance_id % 2 = 1").select("instance_id", F.posexplode(F.array(lit("b.py"), lit("a.py"))).alias("rank", "path")).withColumn("rank", c("rank") + 1)
+    return M.text_inputs(instances, "bm25", files, hits, 1).select("instance_id", "n_files")
+
+
+@query("""SELECT doc_id, len(regexp_extract_all(text, '[0-9A-Za-z_]+|[^0-9A-Za-z_ \\t\\n\\r\\f\\x0b]'))::INT AS n FROM documents""")
+def r8_token_counts(t):
+    return t.documents.select("doc_id", M.n_tokens(c("text")).alias("n"))
+
+
+@query("""SELECT o_custkey, count(*) AS days, min(lo)::DATE AS first, max(lo)::DATE AS last FROM (
+ SELECT o_custkey, unnest(generate_series(a, b, INTERVAL 1 DAY)) AS lo FROM (SELECT o_custkey, min(o_orderdate)::DATE AS a, least(max(o_orderdate)::DATE, min(o_orderdate)::DATE + 40) AS b FROM orders GROUP BY 1)) GROUP BY 1""")
+def x41_day_slices(t):
+    ends = t.orders.groupBy("o_custkey").agg(F.min("o_orderdate").cast("date").alias("a"), F.max("o_orderdate").cast("date").alias("b")).withColumn("b", F.least("b", F.date_add("a", 40)))
+    s = ends.select("o_custkey", F.inline(X.date_slices(c("a"), c("b"), "day")))
+    return s.groupBy("o_custkey").agg(F.count(lit(1)).alias("days"), F.min("lo").alias("first"), F.max("hi").alias("last"))
+
+
+@query("""SELECT o_custkey, greatest(y::DATE, a) AS lo, least(make_date(year(y), 12, 31), b) AS hi FROM (SELECT o_custkey, a, b, unnest(generate_series(date_trunc('year', a), b, INTERVAL 1 YEAR)) AS y FROM (
+ SELECT o_custkey, min(o_orderdate)::DATE AS a, max(o_orderdate)::DATE AS b FROM orders GROUP BY 1))""")
+def x41_year_slices(t):
+    ends = t.orders.groupBy("o_custkey").agg(F.min("o_orderdate").cast("date").alias("a"), F.max("o_orderdate").cast("date").alias("b"))
+    return ends.select("o_custkey", F.inline(X.date_slices(c("a"), c("b"), "year")))
+
+
 # graded logs ----------------------------------------------------------------------------------
 
 

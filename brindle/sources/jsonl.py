@@ -98,3 +98,22 @@ def fan_out(df: DataFrame, valid, with_tests, all_path: str, tests_path: str) ->
     kept = df.where(valid)
     kept.write.mode("append").json(all_path)
     kept.where(with_tests).write.mode("append").json(tests_path)
+
+
+def suffixed(path: str, suffix: str) -> str:
+    """a/b.jsonl with -suffix before its extension."""
+    head, dot, tail = path.rpartition(".")
+    return f"{head}-{suffix}.{tail}" if dot and "/" not in tail else f"{path}-{suffix}"
+
+
+def merge_shards(spark: SparkSession, pattern: str, target: str, expected: int | None = None) -> int:
+    """All lines of the files that match, as one table of text lines at target; how many there are.
+
+    With expected, another number is an error, raised before anything is written.
+    """
+    rows = spark.read.text(pattern)
+    n = rows.count()
+    if expected is not None and n != expected:
+        raise ValueError(f"expected {expected} lines, found {n}")
+    rows.write.mode("overwrite").text(target)
+    return n
