@@ -389,7 +389,8 @@ def similar_groups(docs: DataFrame, radius: int, feature: int, shingle: int, lea
     near = materialize(reduce(DataFrame.unionAll, links).distinct(), "near-links")
     ends = near.select(F.col("a").alias("key")).unionAll(near.select("b")).distinct()
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id"))
-    firsts = rows.join(ends, "key", "left_semi").groupBy("key").agg(first.alias("first")).select(F.col("first.doc_id").alias("id"), "key")
+    # copies of one text come together map by map before they meet the keys asked for
+    firsts = rows.groupBy("key").agg(first.alias("first")).join(ends, "key", "left_semi").select(F.col("first.doc_id").alias("id"), "key")
     sets = materialize(shingle_sets(docs, materialize(firsts, "first-rows"), shingle, id_col, text_col), "shingle-sets")
     good = materialize(alike(near, sets, least), "alike-links")
     groups = materialize(components(good, "a", "b"), "alike-components")
