@@ -16,7 +16,7 @@ def _lines(body: Column) -> Column:
 
 
 def interface_fields(source: Column, name: Column) -> Column:
-    """array of (name, type, optional) of an interface's own lines; empty where it is not declared."""
+    """array of (name, type, optional) of an interface's own lines; empty where it is not declared, null for a null source."""
     body = F.call_function("regexp_extract", source, F.concat(F.lit(r"\binterface\s+\Q"), name, F.lit(r"\E\s*" + BODY)), F.lit(1))
     field = rf"^({NAME})(\?)?\s*:\s*(.+?)\s*;?$"
     found = F.filter(_lines(body), lambda x: x.rlike(field))
