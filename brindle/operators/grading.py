@@ -30,30 +30,35 @@ def resolution(f2p: Column, p2p: Column) -> Column:
     return F.when((f2p == 1) & (p2p == 1), "FULL").when((f2p > 0) & (f2p < 1) & (p2p == 1), "PARTIAL").otherwise("NO")
 
 
-def run_report(dataset: DataFrame, predictions: DataFrame, reports: DataFrame, key: str = "instance_id") -> DataFrame:
-    """One row: counts and sorted id lists of a run.
+def run_outcomes(dataset: DataFrame, predictions: DataFrame, reports: DataFrame, key: str = "instance_id") -> DataFrame:
+    """(key, outcome) of every instance: incomplete, empty_patch, error, resolved or unresolved.
 
     predictions: key, patch; reports: key, resolved (null where the run ended in an error). A
-    prediction for an id outside the dataset doesn't count.
+    prediction for an id outside the dataset doesn't count. These are the id lists of a run, as
+    rows: no list grows with the dataset.
     """
     p = predictions.withColumn("submitted", F.lit(True))
-    r = reports.withColumn("reported", F.lit(True))
-    j = dataset.select(key).join(p, key, "left").join(r, key, "left")
-    empty = F.coalesce(F.col("patch"), F.lit("")) == ""
-    kinds = {
-        "submitted": F.col("submitted"),
-        "completed": F.col("resolved").isNotNull() & ~empty,
-        "resolved": F.col("resolved") & ~empty,
-        "unresolved": ~F.col("resolved") & ~empty,
-        "empty_patch": F.col("submitted") & empty,
-        "error": F.col("submitted") & ~empty & F.col("resolved").isNull(),
-        "incomplete": F.col("submitted").isNull(),
-    }
-    out = [F.count(F.lit(1)).alias("total_instances"), F.lit(2).cast("long").alias("schema_version")]
-    for name, cond in kinds.items():
-        held = F.coalesce(cond, F.lit(False))
-        out += [F.count_if(held).alias(f"{name}_instances"), F.sort_array(F.collect_set(F.when(held, F.col(key)))).alias(f"{name}_ids")]
-    return j.agg(*out)
+    j = dataset.select(key).join(p, key, "left").join(reports.select(key, "resolved"), key, "left")
+    outcome = (
+        F.when(F.col("submitted").isNull(), "incomplete")
+        .when(F.coalesce(F.col("patch"), F.lit("")) == "", "empty_patch")
+        .when(F.col("resolved").isNull(), "error")
+        .when(F.col("resolved"), "resolved")
+        .otherwise("unresolved")
+    )
+    return j.select(key, outcome.alias("outcome"))
+
+
+def run_report(outcomes: DataFrame) -> DataFrame:
+    """One row of counts over run_outcomes: all, submitted, completed and each outcome."""
+    is_ = lambda *names: F.count_if(F.col("outcome").isin(*names))
+    return outcomes.agg(
+        F.count(F.lit(1)).alias("total_instances"),
+        F.count_if(F.col("outcome") != "incomplete").alias("submitted_instances"),
+        is_("resolved", "unresolved").alias("completed_instances"),
+        *(is_(name).alias(f"{name}_instances") for name in ("resolved", "unresolved", "empty_patch", "error", "incomplete")),
+        F.lit(2).cast("long").alias("schema_version"),
+    )
 
 
 def action_metrics(actions: DataFrame, by: list[str], outcome: str = "success") -> DataFrame:

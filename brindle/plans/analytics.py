@@ -101,16 +101,30 @@ def a16_resolution(t):
     return g.select("k", G.resolution(c("f"), c("p")).alias("resolution"))
 
 
-@query("""SELECT total, submitted, completed, resolved, empty, array_to_string(ids, ',') AS resolved_ids FROM (SELECT count(*) AS total, count(*) FILTER (WHERE o_totalprice IS NOT NULL) AS submitted,
- count(*) FILTER (WHERE o_orderstatus <> 'P' AND o_orderpriority <> '5-LOW') AS completed, count(*) FILTER (WHERE o_orderstatus = 'F' AND o_orderpriority <> '5-LOW') AS resolved,
- count(*) FILTER (WHERE o_orderpriority = '5-LOW') AS empty, list(o_orderkey ORDER BY o_orderkey) FILTER (WHERE o_orderstatus = 'F' AND o_orderpriority <> '5-LOW') AS ids
- FROM orders WHERE o_orderkey < 2000)""")
+OUTCOME = """CASE WHEN o_orderkey % 7 = 0 THEN 'incomplete' WHEN o_orderpriority = '5-LOW' THEN 'empty_patch' WHEN o_orderstatus = 'P' OR o_orderkey % 11 = 0 THEN 'error'
+ WHEN o_orderstatus = 'F' THEN 'resolved' ELSE 'unresolved' END"""
+
+
+def outcomes(t):
+    k = c("o_orderkey")
+    data = t.orders.select(k.alias("instance_id"), "o_orderstatus", "o_orderpriority")
+    patch = F.when(c("o_orderpriority") != "5-LOW", c("o_orderpriority"))
+    predictions = data.where("instance_id % 7 <> 0").select("instance_id", patch.alias("patch")).union(data.select(-1 - c("instance_id"), F.lit("p")))
+    # one run in eleven ended in an error, and partly shipped orders have no report at all
+    reports = data.where("o_orderstatus <> 'P'").select("instance_id", F.when(c("instance_id") % 11 != 0, c("o_orderstatus") == "F").alias("resolved"))
+    return G.run_outcomes(data, predictions, reports)
+
+
+@query(f"SELECT o_orderkey AS instance_id, {OUTCOME} AS outcome FROM orders")
+def a17_run_outcomes(t):
+    return outcomes(t)
+
+
+@query(f"""SELECT count(*) AS total_instances, count(*) FILTER (WHERE o <> 'incomplete') AS submitted_instances, count(*) FILTER (WHERE o IN ('resolved', 'unresolved')) AS completed_instances,
+ count(*) FILTER (WHERE o = 'resolved') AS resolved_instances, count(*) FILTER (WHERE o = 'unresolved') AS unresolved_instances, count(*) FILTER (WHERE o = 'empty_patch') AS empty_patch_instances,
+ count(*) FILTER (WHERE o = 'error') AS error_instances, count(*) FILTER (WHERE o = 'incomplete') AS incomplete_instances, 2::BIGINT AS schema_version FROM (SELECT {OUTCOME} AS o FROM orders)""")
 def a17_run_report(t):
-    data = t.orders.where("o_orderkey < 2000").select(c("o_orderkey").alias("instance_id"), "o_orderstatus", "o_orderpriority")
-    predictions = data.select("instance_id", F.when(c("o_orderpriority") == "5-LOW", "").otherwise(c("o_orderpriority")).alias("patch"))
-    reports = data.where("o_orderstatus <> 'P'").select("instance_id", (c("o_orderstatus") == "F").alias("resolved"))
-    r = G.run_report(data.select("instance_id"), predictions, reports)
-    return r.select(c("total_instances").alias("total"), c("submitted_instances").alias("submitted"), c("completed_instances").alias("completed"), c("resolved_instances").alias("resolved"), c("empty_patch_instances").alias("empty"), F.array_join(c("resolved_ids").cast("array<string>"), ",").alias("resolved_ids"))
+    return G.run_report(outcomes(t))
 
 
 @query("""SELECT count(*) AS n, round(avg(r) * 100, 6) AS avg_recall, round(avg((r = 1)::INT) * 100, 6) AS all_recall, round(avg((r > 0)::INT) * 100, 6) AS any_recall FROM (
@@ -246,17 +260,17 @@ def x66_labels(t):
     return t.conversations.select("conv_id", "turn", F.array_join(masked.cast("array<string>"), ",").alias("labels"))
 
 
-@query("""SELECT c_custkey, '{"c_acctbal":' || c_acctbal || ',"c_custkey":' || c_custkey || ',"c_mktsegment":' || CASE WHEN c_mktsegment = 'BUILDING' THEN 'null' ELSE '"' || c_mktsegment || '"' END || '}' AS doc FROM customer WHERE c_acctbal > 1000""")
+@query("""SELECT c_custkey, '{"c_acctbal":' || c_acctbal || ',"c_custkey":' || c_custkey || ',"c_mktsegment":' || CASE WHEN c_mktsegment = 'BUILDING' THEN 'null' ELSE '"' || c_mktsegment || '"' END || '}' AS doc FROM customer""")
 def s16_canonical_json(t):
-    df = t.customer.where("c_acctbal > 1000").select("c_custkey", F.nullif("c_mktsegment", F.lit("BUILDING")).alias("c_mktsegment"), "c_acctbal")
+    df = t.customer.select("c_custkey", F.nullif("c_mktsegment", F.lit("BUILDING")).alias("c_mktsegment"), "c_acctbal")
     return df.select("c_custkey", U.canonical_json(df).alias("doc"))
 
 
-@query("""SELECT s_suppkey AS k, coalesce(n.v, s_acctbal) AS v, s_suppkey AS place FROM supplier LEFT JOIN (SELECT c_custkey AS k, c_acctbal AS v FROM customer) n ON s_suppkey = n.k AND n.k % 2 = 0
-UNION ALL SELECT c_custkey, c_acctbal, c_custkey - 0 + (SELECT max(s_suppkey) + 1 FROM supplier) FROM customer WHERE c_custkey % 2 = 0 AND c_custkey NOT IN (SELECT s_suppkey FROM supplier)""")
+@query("""SELECT s_suppkey AS k, coalesce(n.v, s_acctbal) AS v, s_suppkey AS place FROM supplier LEFT JOIN (SELECT 2 * c_custkey AS k, c_acctbal AS v FROM customer) n ON s_suppkey = n.k
+UNION ALL SELECT 2 * c_custkey, c_acctbal, c_custkey + (SELECT max(s_suppkey) + 1 FROM supplier) FROM customer WHERE 2 * c_custkey NOT IN (SELECT s_suppkey FROM supplier)""")
 def s14_upsert(t):
     old = t.supplier.select(c("s_suppkey").alias("k"), c("s_acctbal").alias("v"), c("s_suppkey").alias("place"))
-    new = t.customer.where("c_custkey % 2 = 0").select(c("c_custkey").alias("k"), c("c_acctbal").alias("v"), c("c_custkey").alias("place"))
+    new = t.customer.select((2 * c("c_custkey")).alias("k"), c("c_acctbal").alias("v"), c("c_custkey").alias("place"))
     return U.upsert(old, new, "k")
 
 
