@@ -3,11 +3,12 @@
 Each pass hashes every vector on random directions and orders the vectors of a label
 lexicographically by the concatenated hashes; near vectors share a long prefix with good chance
 and stand close together. Neighbours within a bounded window are compared, and verified pairs of
-all passes are united. How many passes a label needs is measured: some of its vectors get a twin
-at the very threshold, and the share of twins that a trial meets says how crowded the label is.
-Where windows would compare as much as all pairs do, in small labels and in ones too dense for
-any order, all pairs are compared by blocks instead. Within a component all pairs are then
-counted exactly, block by block.
+all passes are united. Every label goes through the passes, however small or dense. How many more
+than the trial's it needs is measured: some of its vectors get a twin at the very threshold, and
+the share of twins that the trial meets says how crowded the label is. An exact check follows for
+every label: vectors that the passes left in different components are compared by blocks, so no
+link depends on a window, on the number of passes or on a label's size. Within a component all
+pairs are then counted exactly, block by block.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release, written
 from .components import components
 
 
@@ -49,17 +50,18 @@ def _rows(binary, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(binary), np.float64).reshape(-1, dim)
 
 
-def forest(x: np.ndarray, y: np.ndarray | None, settings: Settings) -> list[tuple[int, int]]:
+def forest(x: np.ndarray, y: np.ndarray | None, root: np.ndarray, settings: Settings) -> list[tuple[int, int]]:
     """Links between the rows of x and y, or among those of x, thinned to a forest of them.
 
-    Rows of y are numbered on from those of x. Which pairs link is exact.
+    Rows of y are numbered on from those of x. Which pairs link is exact. Rows of equal root are
+    joined already, and none of their links is given.
     """
     to = x if y is None else y
     every, first = (x, 0) if y is None else (np.concatenate([x, y]), len(x))
     # products in single precision err by less than this
     slack = 2.0**-22 * (x.shape[1] + 8)
     low, narrow = np.float32(settings.threshold - slack), to.astype(np.float32).T
-    root, out = np.arange(len(every)), []
+    root, out = root.copy(), []
     for at in range(0, len(x), settings.tile):
         hits = x[at : at + settings.tile].astype(np.float32) @ narrow >= low
         if y is None:
@@ -95,7 +97,7 @@ def _vectors(df: DataFrame) -> DataFrame:
 
 
 #: Hashes of 4 bits in a sort key, the slack of a cosine in half precision, and the numbers of
-#: passes that a label may get; one that needs more is searched by blocks.
+#: passes that a label may get; one that needs more has the trial's and the exact check.
 HASHES, SLACK, STEPS = 16, 2.0**-9, tuple(sorted({int(2 ** (k / 4)) for k in range(12, 53)}))
 
 
@@ -226,51 +228,67 @@ def passes_needed(met: DataFrame, settings: Settings) -> DataFrame:
     return counts.select("label_id", "dim", F.get(fit, F.lit(0)).alias("passes"))
 
 
-def links(classes: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(a, b) of classes: links that join all that link, found by window passes or by blocks.
+def window_links(m: DataFrame, settings: Settings) -> DataFrame:
+    """(a, b): links that window passes find, verified, thinned to forests where they were found.
 
-    classes: (cid, label, dim, unit). A label is searched by blocks if the windows of the passes
-    that it needs would compare each vector with as many others as there are.
+    m: (cid, label_id, dim, unit). Every label gets the trial's passes. One gets as many more as
+    its twins say, unless the windows would then compare each vector with as many others as
+    there are: the exact check that follows costs no more.
     """
-    # labels travel as a hash beside the exact comparison that the class ids stand for
-    m = classes.select("cid", F.xxhash64("label").alias("label_id"), "dim", "unit")
     by, w = ["label_id", "dim"], settings.window
-    sizes = materialize(m.groupBy(*by).agg(F.count(F.lit(1)).alias("n")), "label-sizes")
-    large = sizes.where(F.col("n") > 2 * w * settings.trial)
-    if large.isEmpty():
-        return block_links(m, settings)
+    sizes = materialize(m.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "label-sizes")
     share = F.shiftrightunsigned(F.xxhash64("cid", F.lit(settings.seed)), 11) / F.lit(float(1 << 53))
-    tried = materialize(m.join(large, by).withColumn("probe", share < settings.probes / F.col("n")), "tried-vectors")
+    # a label that more passes cannot serve needs no twins
+    probe = (F.col("n") > 2 * w * settings.trial) & (share < settings.probes / F.col("n"))
+    tried = materialize(m.join(sizes, by).withColumn("probe", probe), "tried-vectors")
     first = materialize(window_pairs(tried.withColumns({"low": F.lit(0), "high": F.lit(settings.trial)}), settings), "trial-pairs")
     hits = first.where("a is null").groupBy(F.col("b").alias("cid")).count()
     met = tried.where("probe").select("cid", *by).join(hits, "cid", "left").select(*by, F.least(F.coalesce("count", F.lit(0)), F.lit(settings.trial)).alias("hits"))
-    plan = large.join(passes_needed(met, settings), by, "left").select(*by, "n", "passes")
-    plan = materialize(plan.withColumn("windows", F.coalesce(2 * w * F.col("passes") < F.col("n"), F.lit(False))), "label-plans")
-    go_on = plan.where("windows").where(F.col("passes") > settings.trial).select(*by, F.lit(settings.trial).alias("low"), F.col("passes").alias("high"))
+    plan = sizes.join(passes_needed(met, settings), by).where((F.col("passes") > settings.trial) & (2 * w * F.col("passes") < F.col("n")))
+    go_on = materialize(plan.select(*by, F.lit(settings.trial).alias("low"), F.col("passes").alias("high")), "label-plans")
     found = [first.where("a is not null")]
     if not go_on.isEmpty():
         more = window_pairs(tried.withColumn("probe", F.lit(False)).drop("n").join(go_on, by), settings)
         found.append(materialize(more, "window-pairs"))
     pairs = reduce(DataFrame.unionAll, found)
     open_ = pairs.where("not sure").select("a", "b").distinct()
-    out = pairs.where("sure").select("a", "b").unionAll(verified(open_, classes, settings.threshold)).distinct()
-    rest = m.join(plan.where("windows").select(*by), by, "left_anti")
-    return out if rest.isEmpty() else out.unionAll(block_links(rest, settings))
+    return pairs.where("sure").select("a", "b").unionAll(verified(open_, m, settings.threshold)).distinct()
+
+
+def links(classes: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """(a, b) of classes: links that join all that link, found by window passes and an exact check.
+
+    classes: (cid, label, dim, unit). Labels of every size and density go the same way.
+    """
+    # labels travel as a hash beside the exact comparison that the class ids stand for
+    m = classes.select("cid", F.xxhash64("label").alias("label_id"), "dim", "unit")
+    mark = written(m.sparkSession)
+    found = materialize(window_links(m, settings), "window-links")
+    release(m.sparkSession, mark, keep=1)
+    return found.unionAll(missed_links(m, components(found, "a", "b"), settings))
 
 
 def block_links(m: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(a, b) of classes: links that join all that link, thinned to forests where they were found.
+    """(a, b): links by blocks alone, without a pass. No query calls it; tests hold links against it."""
+    return missed_links(m, m.select(F.col("cid").alias("node"), F.col("cid").alias("root")), settings)
+
+
+def missed_links(m: DataFrame, found: DataFrame, settings: Settings) -> DataFrame:
+    """(a, b): links that join all that link but has different roots, thinned to forests where they were found.
 
-    m: (cid, label_id, dim, unit). Finds every link. A label's n vectors are cut in blocks of about 16 times the
-    root of n, most_side at most, and each pair of blocks is one group of bounded size; so no
-    label meets in one task. The pairs compared grow with the square of a label's vectors.
+    m: (cid, label_id, dim, unit); found: (node, root), a vector without a row is alone. Finds
+    every such link. A label's n vectors are cut in blocks of about 16 times the root of n,
+    most_side at most, and each pair of blocks is one group of bounded size; so no label meets in
+    one task. The pairs compared grow with the square of a label's vectors.
     """
     side = F.least(F.lit(float(settings.most_side)), 16 * F.sqrt(F.count(F.lit(1))))
-    sizes = materialize(m.groupBy("label_id", "dim").agg(F.ceil(F.count(F.lit(1)) / side).cast("int").alias("nb")), "label-blocks")
+    nb, n = F.ceil(F.count(F.lit(1)) / side).cast("int").alias("nb"), F.count(F.lit(1)).alias("n")
+    sizes = materialize(m.groupBy("label_id", "dim").agg(nb, n).where("n > 1").drop("n"), "label-blocks")
+    m = m.join(found, m["cid"] == found["node"], "left").select("cid", "label_id", "dim", "unit", F.coalesce("root", "cid").alias("root"))
     m = m.join(sizes, ["label_id", "dim"]).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int"))
     m = m.select("*", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
     parts = ["label_id", "dim", "q", "t"]
-    m = m.select("label_id", "dim", F.least("own", "other").alias("q"), F.greatest("own", "other").alias("t"), (F.col("own") > F.col("other")).cast("int").alias("side"), "cid", "unit")
+    m = m.select("label_id", "dim", F.least("own", "other").alias("q"), F.greatest("own", "other").alias("t"), (F.col("own") > F.col("other")).cast("int").alias("side"), "cid", "root", "unit")
     m = m.repartition(*parts).sortWithinPartitions(*parts, "side", "cid")
 
     def compare(batches):
@@ -294,8 +312,8 @@ def block_links(m: DataFrame, settings: Settings = Settings()) -> DataFrame:
         cid, side = rows.column("cid").to_numpy(), rows.column("side").to_numpy()
         q, t = int(rows.column("q")[0].as_py()), int(rows.column("t")[0].as_py())
         x = _rows(rows.column("unit").to_pylist(), int(rows.column("dim")[0].as_py()))
-        n = int((side == 0).sum())
-        links = [] if q != t and n in (0, len(x)) else forest(x, None, settings) if q == t else forest(x[:n], x[n:], settings)
+        n, root = int((side == 0).sum()), np.unique(rows.column("root").to_numpy(), return_inverse=True)[1]
+        links = [] if q != t and n in (0, len(x)) else forest(x, None, root, settings) if q == t else forest(x[:n], x[n:], root, settings)
         ends = cid[np.array(links, np.int64).reshape(-1, 2)]
         return pa.RecordBatch.from_pydict({"a": pa.array(ends[:, 0]), "b": pa.array(ends[:, 1])})
 

@@ -545,6 +545,59 @@ def test_windows_find_the_links_of_spread_labels(spark, monkeypatch):
         assert sum(got.values()) >= 0.99 * expected.sum() and [got[i] for i in range(700, 720)] == expected[700:720].tolist()
 
 
+def spread_pairs(rng, n, pairs):
+    """n spread unit vectors; row i and row i + pairs link for i under pairs, barely."""
+    x = rng.standard_normal((n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    step = rng.standard_normal((pairs, 64))
+    step -= (step * x[:pairs]).sum(1, keepdims=True) * x[:pairs]
+    step /= np.linalg.norm(step, axis=1, keepdims=True)
+    x[pairs : 2 * pairs] = 0.9805 * x[:pairs] + np.sqrt(1 - 0.9805**2) * step
+    return np.float32(x)
+
+
+def test_links_do_not_depend_on_the_size_of_a_label(spark):
+    x = spread_pairs(np.random.default_rng(41), 1500, 150)
+    small = np.r_[0:30, 150:180]
+    # some of the pairs stand in a small label too, and the passes miss many
+    rows = [(i, [float(v) for v in r], 1) for i, r in enumerate(x)] + [(10000 + i, [float(v) for v in r], 2) for i, r in enumerate(x[small])]
+    u = embeddings.unit(x.tolist())
+    near = (u @ u.T) >= 0.98
+    np.fill_diagonal(near, False)
+    df = frame(spark, rows, "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(df, embeddings.Settings(window=4, width=0.2, recall=0.1)).collect()}
+    for part, first in ((near, 0), (near[np.ix_(small, small)], 10000)):
+        expected = roots(len(part), [(i, j) for i, j in zip(*np.nonzero(part)) if i > j])
+        assert [got[first + i] for i in range(len(part))] == [(int(part[i].sum()), first + expected[i]) for i in range(len(part))]
+
+
+def test_passes_serve_labels_of_every_size(spark, monkeypatch):
+    rng = np.random.default_rng(43)
+    sizes = (2, 40, 300, 1500)
+    xs = [spread_pairs(rng, n, n // 5 or 1) for n in sizes]
+    rows = [(10000 * k + i, [float(v) for v in r], k) for k, x in enumerate(xs) for i, r in enumerate(x)]
+    # without the exact check, what is left is what the passes find
+    monkeypatch.setattr(embeddings, "missed_links", lambda m, found, s: m.selectExpr("cid a", "cid b").limit(0))
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(frame(spark, rows, "vec_id long, embedding array<float>, label int")).collect()}
+    for k, x in enumerate(xs):
+        u = embeddings.unit(x.tolist())
+        expected = ((u @ u.T) >= 0.98).sum(1) - 1
+        mine = [got[10000 * k + i] for i in range(len(x))]
+        assert all(a <= b for a, b in zip(mine, expected)) and sum(mine) >= 0.97 * expected.sum() > 0
+
+
+def test_the_exact_check_finds_what_blocks_alone_find(spark):
+    x = spread_pairs(np.random.default_rng(47), 700, 100)
+    classes = embeddings._vectors(frame(spark, [(i, 1, [float(v) for v in r]) for i, r in enumerate(x)], "cid long, label int, embedding array<float>"))
+    m = classes.selectExpr("cid", "xxhash64(label) label_id", "dim", "unit")
+    pairs = lambda df: {(min(r), max(r)) for r in df.select("a", "b").collect()}
+    by_blocks = pairs(embeddings.block_links(m))
+    # every second pair is joined already
+    found = frame(spark, [(i + o, i) for i in range(0, 100, 2) for o in (0, 100)], "node long, root long")
+    assert by_blocks == {(i, i + 100) for i in range(100)}
+    assert pairs(embeddings.missed_links(m, found, embeddings.Settings())) == {(i, i + 100) for i in range(1, 100, 2)}
+
+
 # BPE and packing ----------------------------------------------------------------------------
 
 
