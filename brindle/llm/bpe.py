@@ -258,7 +258,7 @@ def _encode(docs: DataFrame, path: str | None, id_col: str, text_col: str, diges
 
     def run(batches):
         bpe = worker_cache(name, lambda: WordBpe(content.value, kept))
-        for batch in slices(batches, 1, 2_000_000):
+        for batch in slices(batches, 1, 2_000_000, keep="bpe_"):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             rows = []
             for found in bpe.values(texts):

@@ -6,6 +6,7 @@ import tempfile
 import threading
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -127,7 +128,7 @@ def running(values: Column, start: Column, step, block: int = 128) -> Column:
 
 
 def worker_cache(name: str, make):
-    """An object that lives as long as the Python worker process, so that tasks share it."""
+    """An object that lives in the Python worker process until tidy drops it, so that tasks share it."""
     import sys
     import types
 
@@ -137,11 +138,33 @@ def worker_cache(name: str, make):
     return getattr(home, name)
 
 
-def slices(batches, position: int, size: int = 4_000_000):
-    """Arrow batches cut so that the texts in one column hold about size bytes; a longer text is alone."""
+def tidy(keep: str | None = None) -> None:
+    """Gives back what a worker holds for nothing: shared objects but those named keep..., and free memory.
+
+    Workers outlive their tasks, so what one operator's tasks leave would add to the memory of all
+    operators after it. Allocators keep freed memory as well, mostly that below some last live piece.
+    """
+    import ctypes
+    import sys
+
+    home = vars(sys.modules.get("_brindle_worker_cache", object))
+    for name in [n for n in home if not n.startswith("__") and not (keep and n.startswith(keep))]:
+        del home[name]
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+    if trim:
+        trim(0)
+
+
+def slices(batches, position: int, size: int = 4_000_000, keep: str | None = None):
+    """Arrow batches cut so that the texts in one column hold about size bytes; a longer text is alone.
+
+    Before each batch and behind the last the worker is tidied; keep names the task's own shared objects.
+    """
     import numpy as np
     import pyarrow.compute as pc
 
+    tidy(keep)
     for batch in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(position)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         i = 0
@@ -150,6 +173,8 @@ def slices(batches, position: int, size: int = 4_000_000):
             j = max(i + 1, int(np.searchsorted(ends, before + size, "right")))
             yield batch.slice(i, j - i)
             i = j
+        del batch
+        tidy(keep)
 
 
 def map_arrow(docs: DataFrame, run, extra: dict[str, str] | None = None) -> DataFrame:

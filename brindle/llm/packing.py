@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import tokenizer_content
-from .common import bounded_batches, column, materialize, slices, worker_cache
+from .common import bounded_batches, column, materialize, slices, tidy, worker_cache
 from .wordtable import WordTable
 
 
@@ -149,7 +149,7 @@ def tokenize(docs: DataFrame, router: Router | None, path: str | None = None, se
 
     def run(batches):
         table = worker_cache(name, lambda: WordTable(content.value))
-        for batch in slices(batches, 2, 500_000):
+        for batch in slices(batches, 2, 500_000, keep="pack_"):
             found = [ids.astype("<u2") for ids in table.ids([t or "" for t in batch.column("text").to_pylist()])]
             out = [ids.tobytes() + end for ids in found]
             shard = np.zeros(len(out), np.int64) if routes.value is None else routes.value.shards(found, batch.column("spread").to_numpy())
@@ -262,6 +262,7 @@ def pack(docs: DataFrame, path: str | None = None, settings: Settings = Settings
     kind = tokens.schema["doc_id"].dataType.simpleString()
 
     def shard(table: pa.Table) -> pa.Table:
+        tidy()  # of the tokenizer's tables and the shard before
         rows = sorted(zip(table.column("doc_id").to_pylist(), table.column("ids").to_pylist()), key=lambda r: (r[0] is not None, r[0] if r[0] is not None else 0, r[1]))
         which = table.column("shard")[0].as_py()
         docs = [np.frombuffer(ids, "<u2") for _, ids in rows]

@@ -4,8 +4,11 @@ import hashlib
 import math
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -790,3 +793,31 @@ def test_em_learns_reliabilities():
         counts[key] += 1
     w = pii.train(dict(counts))["email"]
     assert w[1] - w[6] > w[3] - w[8] + 1
+
+
+def test_workers_give_memory_back():
+    """What tasks share goes with the first task of another operator, and freed memory goes to the system."""
+    code = """if True:
+    import re
+    import pyarrow as pa
+    from brindle.llm.common import slices, worker_cache
+
+    batch = lambda: pa.record_batch({"text": pa.array(["a" * 30, None, "b" * 30])})
+    first = worker_cache("pack_table", lambda: bytearray(100))
+    assert sum(b.num_rows for b in slices([batch()], 0, 40, keep="pack_")) == 3
+    assert worker_cache("pack_table", bytes) is first
+    assert sum(b.num_rows for b in slices([batch()], 0, 40)) == 3
+    assert worker_cache("pack_table", bytes) == b"", "another operator's table stayed"
+
+    def held():
+        return sum(map(int, re.findall(r"Pss_Anon: *([0-9]+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+    before, last = held(), []
+    for _ in slices([batch()], 0):
+        many = [bytes(100_000) for _ in range(2000)]
+        last.append(bytes(100_000))  # lies above them
+        many = None
+    assert held() < before + 50, f"{held() - before:.0f} MB stayed"
+    """
+    done = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[2], capture_output=True, text=True, timeout=60)
+    assert done.returncode == 0, done.stderr[-1500:]
