@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .source_tree import NAME
+from .source_tree import NAME, shuffled
 
 
 def _any(*tests: Column) -> Column:
@@ -104,8 +104,8 @@ def implementers(abstract: DataFrame, bindings: DataFrame, files: DataFrame, str
     """
     a = abstract.select(F.col("path").alias("target"), "name", "type", F.array_contains("modifiers", "default").alias("is_default"))
     by_name = (F.col("kind") == "named") & (F.col("imported") == F.col("name"))
-    met = bindings.where("target is not null").join(a, "target").where((by_name | ((F.col("kind") == "default") & F.col("is_default"))) & (F.col("path") != F.col("target")))
-    met = met.select("target", "name", "type", "path", "local").distinct().join(files, "path")
+    met = bindings.where("target is not null").join(shuffled(a), "target").where((by_name | ((F.col("kind") == "default") & F.col("is_default"))) & (F.col("path") != F.col("target")))
+    met = met.select("target", "name", "type", "path", "local").distinct().join(shuffled(files), "path")
     heads = F.regexp_extract_all("masked", F.lit(rf"\b(?:class|struct)\s+{NAME}[^{{\n]*?\b(?:implements|extends)\s+([^{{\n]*)"), F.lit(1))
     names = lambda x: F.regexp_extract_all(x, F.lit(NAME), F.lit(0))
     explicit = F.exists(heads, lambda x: F.array_contains(names(x), F.col("local")))
@@ -129,11 +129,11 @@ def verify(instances: DataFrame, abstract: DataFrame, found: DataFrame, declared
     instances: (instance_id, target, node_type, name, masked_path, declarations, masked_sha256,
     original_sha256); files: (path, source) as they are now.
     """
-    have = lambda df, on, name: df.select(*(F.col(a).alias(b) for a, b in on.items())).distinct().withColumn(name, F.lit(True))
+    have = lambda df, on, name: shuffled(df.select(*(F.col(a).alias(b) for a, b in on.items())).distinct().withColumn(name, F.lit(True)))
     out = instances.join(have(abstract, {"path": "target", "type": "node_type", "name": "name"}, "abstract_node_exists"), ["target", "node_type", "name"], "left")
     out = out.join(have(found, {"target": "target", "name": "name", "path": "masked_path"}, "implementation_relation_restored"), ["target", "name", "masked_path"], "left")
-    out = out.join(declared.select(F.col("path").alias("masked_path"), "names"), "masked_path", "left")
-    out = out.join(files.select(F.col("path").alias("masked_path"), F.sha2("source", 256).alias("sha"), F.lit(True).alias("masked_file_exists")), "masked_path", "left")
+    out = out.join(shuffled(declared.select(F.col("path").alias("masked_path"), "names")), "masked_path", "left")
+    out = out.join(shuffled(files.select(F.col("path").alias("masked_path"), F.sha2("source", 256).alias("sha"), F.lit(True).alias("masked_file_exists"))), "masked_path", "left")
     no = F.array().cast("array<string>")
     false = lambda x: F.coalesce(x, F.lit(False))
     out = out.withColumns({

@@ -189,6 +189,15 @@ def parse(files: DataFrame, part: str, path: str = "path", source: str = "source
     return files.select(F.col(path).alias("path"), F.col(source).alias("source")).mapInArrow(run, f"path string, {shape}")
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df for a join that shuffles and sorts it, whatever its size is thought to be.
+
+    Rows that a parser or a generator makes of few columns are many times what the planner expects
+    of them; broadcast, all of them would pass through the driver.
+    """
+    return df.hint("merge")
+
+
 def language(path: Column) -> Column:
     return F.when(F.lower(path).endswith(".ets"), "ArkTS").when(F.lower(path).endswith(".ts"), "TypeScript").otherwise(F.regexp_extract(path, r"\.([^./]+)$", 1))
 
@@ -228,7 +237,10 @@ def prefixed_calls(call_rows: DataFrame, node_rows: DataFrame, prefixes: list[st
 
 
 def bindings(import_rows: DataFrame) -> DataFrame:
-    """(path, source, kind, imported, local): default, namespace and named imports, aliases kept."""
+    """(path, source, kind, imported, local): default, namespace and named imports, aliases kept.
+
+    Resolved imports keep their target.
+    """
     clause = F.regexp_replace("clause", r"^type\s+", "")
     star = F.regexp_extract(clause, rf"\*\s+as\s+({NAME})", 1)
     first = F.regexp_extract(clause, rf"^({NAME})", 1)
@@ -238,7 +250,8 @@ def bindings(import_rows: DataFrame) -> DataFrame:
         F.when(star != "", F.struct(F.lit("namespace").alias("kind"), F.lit("*").alias("imported"), star.alias("local"))),
         F.when(first != "", F.struct(F.lit("default").alias("kind"), F.lit("default").alias("imported"), first.alias("local"))),
     ))
-    return import_rows.where("source <> ''").select("path", F.col("source"), F.inline(F.concat(named, extra)))
+    target = [c for c in import_rows.columns if c == "target"]
+    return import_rows.where("source <> ''").select("path", F.col("source"), *target, F.inline(F.concat(named, extra)))
 
 
 def resolve(edges: DataFrame, files: DataFrame) -> DataFrame:
@@ -251,8 +264,8 @@ def resolve(edges: DataFrame, files: DataFrame) -> DataFrame:
     base = F.array_join(F.aggregate(segments, none, step), "/")
     tried = F.transform(F.array(*map(F.lit, ("", ".ets", ".ts", "/index.ets", "/index.ts"))), lambda x: F.concat(base, x))
     numbered = edges.where(F.col("source").startswith(".")).select("path", "source", F.posexplode(tried).alias("rank", "target")).distinct()
-    found = numbered.join(files.select(F.col("path").alias("target")), "target").groupBy("path", "source").agg(F.min_by("target", "rank").alias("target"))
-    return edges.join(found, ["path", "source"], "left")
+    found = numbered.join(shuffled(files.select(F.col("path").alias("target"))), "target").groupBy("path", "source").agg(F.min_by("target", "rank").alias("target"))
+    return edges.join(shuffled(found), ["path", "source"], "left")
 
 
 def consumers(edges: DataFrame, node_rows: DataFrame, call_rows: DataFrame) -> DataFrame:

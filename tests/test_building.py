@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from brindle.operators import curating, oracles, prompts, records, tracks
+from brindle.operators import curating, oracles, prompts, records, source_tree, tracks
+from brindle.plans import catalog
 from brindle.sources import config, jsonl
 
 
@@ -51,3 +52,23 @@ def test_odd_declarations_and_contexts(spark):
         assert r.n_files == n and (r.context == "") == (n == 0)
     with pytest.raises(ValueError):
         prompts.wanted_files(instances, "other", files)
+
+
+def planned(spark, sf_dir, name):
+    """The plan of a query before it runs, under Spark's own broadcast threshold."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    return catalog.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_verified_instances_pass_no_parsed_rows_through_the_driver(spark, sf_dir):
+    # the planner takes all rows that are parsed from a small table for a few bytes each
+    assert "Broadcast" not in planned(spark, sf_dir, "g13_verified_instances")
+
+
+def test_resolved_imports_keep_their_target(spark):
+    clause = "import Base, { A as B, A } from './a'\n"
+    files = spark.createDataFrame([("k/a.ts", "export interface A {}\n"), ("k/b.ts", clause * 2 + "import { A } from './none'\n"), ("k/c.ts", None)], "path string, source string")
+    got = source_tree.bindings(source_tree.resolve(source_tree.parse(files, "imports"), files)).collect()
+    rows = sorted((r.source, r.target, r.kind, r.imported, r.local) for r in got if r.target)
+    assert rows == sorted(2 * [("./a", "k/a.ts", "default", "default", "Base"), ("./a", "k/a.ts", "named", "A", "B"), ("./a", "k/a.ts", "named", "A", "A")])
+    assert [(r.path, r.source, r.local) for r in got if not r.target] == [("k/b.ts", "./none", "A")]
