@@ -72,3 +72,7 @@ def test_resolved_imports_keep_their_target(spark):
     rows = sorted((r.source, r.target, r.kind, r.imported, r.local) for r in got if r.target)
     assert rows == sorted(2 * [("./a", "k/a.ts", "default", "default", "Base"), ("./a", "k/a.ts", "named", "A", "B"), ("./a", "k/a.ts", "named", "A", "A")])
     assert [(r.path, r.source, r.local) for r in got if not r.target] == [("k/b.ts", "./none", "A")]
+
+
+def test_implementers_pass_no_parsed_rows_through_the_driver(spark, sf_dir):
+    assert "Broadcast" not in planned(spark, sf_dir, "j14_implementers")
