@@ -120,7 +120,7 @@ def feature_candidates(found: DataFrame, abstract: DataFrame, least: int = 2) ->
     """Abstract nodes by how many files implement them, most first, then by path and line."""
     n = found.groupBy("target", "name").agg(F.count_distinct("path").alias("implementations"), F.sort_array(F.collect_set("path")).alias("paths"))
     a = abstract.select(F.col("path").alias("target"), "name", "type", "start")
-    return n.join(a, ["target", "name"]).where(F.col("implementations") >= least).orderBy(F.desc("implementations"), "target", "start")
+    return n.join(shuffled(a), ["target", "name"]).where(F.col("implementations") >= least).orderBy(F.desc("implementations"), "target", "start")
 
 
 def verify(instances: DataFrame, abstract: DataFrame, found: DataFrame, declared: DataFrame, files: DataFrame) -> DataFrame:

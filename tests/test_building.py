@@ -76,3 +76,7 @@ def test_resolved_imports_keep_their_target(spark):
 
 def test_implementers_pass_no_parsed_rows_through_the_driver(spark, sf_dir):
     assert "Broadcast" not in planned(spark, sf_dir, "j14_implementers")
+
+
+def test_feature_candidates_pass_no_parsed_rows_through_the_driver(spark, sf_dir):
+    assert "Broadcast" not in planned(spark, sf_dir, "g10_feature_candidates")
