@@ -78,5 +78,19 @@ def test_implementers_pass_no_parsed_rows_through_the_driver(spark, sf_dir):
     assert "Broadcast" not in planned(spark, sf_dir, "j14_implementers")
 
 
+def test_implementers_pass_no_parsed_rows_through_the_driver_as_they_run(spark, sf_dir):
+    # sizes that are known only while it runs turn no join into a broadcast, either
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "10m")
+    try:
+        found = catalog.queries()["j14_implementers"](spark, sf_dir)
+        assert len(found.collect()) == 3 * spark.read.parquet(f"{sf_dir}/part.parquet").count()
+        ran = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    assert "isFinalPlan=true" in ran and "Broadcast" not in ran
+
+
 def test_feature_candidates_pass_no_parsed_rows_through_the_driver(spark, sf_dir):
     assert "Broadcast" not in planned(spark, sf_dir, "g10_feature_candidates")
